@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +17,10 @@ from lodeseam.llm import (
     sharding,
     simhash_dedup,
     substring_dedup,
+    token_output,
     url_filters,
 )
-from lodeseam.llm._shared import table
+from lodeseam.llm._shared import new_path, table
 
 SHARDS = 8
 
@@ -27,6 +29,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-shards")
+    token_output.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_output.checksums(token_output.read(spark, path))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -87,7 +95,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op3_licenses, op4_decontaminate, op5_quality, op6_substrings, op7_mixing, op8_url_filters, op9_sharding, op10_chat)
+    own = (op1_simhash, op2_tokens, op3_licenses, op4_decontaminate, op5_quality, op6_substrings, op7_mixing, op8_url_filters, op9_sharding, op10_chat)
     return {f.__name__: f for f in own}
 
 
