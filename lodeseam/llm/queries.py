@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,8 +95,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.formatted(chat_format.canonical(records)))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_tokens, op3_licenses, op4_decontaminate, op5_quality, op6_substrings, op7_mixing, op8_url_filters, op9_sharding, op10_chat)
+    own = (op1_simhash, op2_tokens, op3_licenses, op4_decontaminate, op5_quality, op6_substrings, op7_mixing, op8_url_filters, op9_sharding, op10_chat, pipeline)
     return {f.__name__: f for f in own}
 
 

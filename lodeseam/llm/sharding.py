@@ -1,6 +1,6 @@
 """Sharding by a Feistel permutation with cycle walking over global row numbers.
 
-Rows get gapless global numbers in the order of doc_id (null first, equal ids by a hash of the text), from a range
+Rows get gapless global numbers in the order of doc_id (null first, equal ids by the size and checksum of the text), from a range
 partitioned sort: each partition numbers its own rows and the partitions' counts are summed up.  A keyed Feistel
 network over just enough bits permutes [0, n); a value outside is encrypted again until it falls inside (cycle
 walking), so the result is a permutation of exactly n numbers.  Number p goes to shard p mod k, slot p div k: shards'
@@ -14,13 +14,10 @@ unless they have the names of its results, which then replace them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodeseam.llm._shared import cut, written
 from lodeseam.llm._text import mixed
@@ -102,16 +99,14 @@ def place(docs: DataFrame, shards: int = 8, seed: int = SEED, with_text: bool =
         before[p], n = n, n + counts[p]
     places = docs.sparkSession.sparkContext.broadcast(before)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            parts, which = np.unique(at >> _PID_BITS, return_inverse=True)
-            rows = np.array([places.value[int(p)] for p in parts], np.int64)[which] + (at & ((1 << _PID_BITS) - 1))
-            to = permute(rows, n, seed)
-            added = [pa.array(rows), pa.array((to % shards).astype(np.int32)), pa.array(to // shards)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *added], names=[*batch.schema.names[:-1], "row_number", "shard", "slot"]
-            )
-
-    schema = numbered.drop("_at").schema.add("row_number", T.LongType()).add("shard", T.IntegerType()).add("slot", T.LongType())
-    return numbered.mapInArrow(deal, schema)
+    @F.arrow_udf("struct<row_number: long, shard: int, slot: long>")
+    def dealt(at: pa.Array) -> pa.Array:
+        at = at.to_numpy(zero_copy_only=False)
+        parts, which = np.unique(at >> _PID_BITS, return_inverse=True)
+        rows = np.array([places.value[int(p)] for p in parts], np.int64)[which] + (at & ((1 << _PID_BITS) - 1))
+        to = permute(rows, n, seed)
+        columns = [pa.array(rows), pa.array((to % shards).astype(np.int32)), pa.array(to // shards)]
+        return pa.StructArray.from_arrays(columns, ["row_number", "shard", "slot"])
+
+    placed = numbered.withColumn("_at", dealt("_at"))
+    return placed.select(*columns, *own, "_at.row_number", "_at.shard", "_at.slot")
