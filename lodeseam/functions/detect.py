@@ -114,10 +114,11 @@ RULES = (
 def detect(content: Column, enabled: Iterable[str] | None = None) -> Column:
     """(is_match, confidence, format) by the first rule among the enabled formats; they shape the plan, not a filter."""
     names = None if enabled is None else set(enabled)
-    chosen, sure = F.lit(0), F.lit(0)
+    found = lambda sure, k: F.struct(F.lit(k > 0).alias("is_match"), F.lit(sure).alias("confidence"), F.lit(k).alias("format"))
+    chosen = found(0, 0)
     for name, rule, confidence in reversed([r for r in RULES if names is None or r[0] in names]):
-        chosen, sure = F.when(rule(content), ID[name]).otherwise(chosen), F.when(rule(content), confidence).otherwise(sure)
-    return F.struct((chosen > 0).alias("is_match"), sure.cast("int").alias("confidence"), chosen.cast("int").alias("format"))
+        chosen = F.when(rule(content), found(confidence, ID[name])).otherwise(chosen)
+    return chosen
 
 
 def switched(switch: str) -> list[str]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import binascii
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +29,23 @@ def line_lengths(body: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(body, "\r\n$", ""), "\r\n"), lambda x: F.length(x))
 
 
+def _wrapped(data: bytes, lengths: list[int]) -> str:
+    text, out, at = binascii.b2a_base64(data, newline=False).decode(), [], 0
+    for n in lengths:
+        out.append(text[at : at + n])
+        at += n
+    return "\r\n".join(out)
+
+
 def wrap(data: Column, lengths: Column) -> Column:
     """base64 of data in lines of the given lengths, CR LF between them."""
-    text = F.base64(data)
-    # Spark's base64 breaks lines at 76 characters only by its chunked setting; either way the breaks go.
-    text = F.regexp_replace(text, "[\r\n]", "")
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("lines"))
-    cut = F.aggregate(
-        lengths, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["lines"], F.array(F.substring(text, s["at"], n))).alias("lines"))
-    )
-    return F.array_join(cut["lines"], "\r\n")
+
+    @F.arrow_udf("string")
+    def run(data: pa.Array, lengths: pa.Array) -> pa.Array:
+        rows = zip(data.to_pylist(), lengths.to_pylist(), strict=True)
+        return pa.array([None if x is None or n is None else _wrapped(x, n) for x, n in rows], pa.string())
+
+    return run(data, lengths)
 
 
 def decode(objects: DataFrame, key: str = "object_id", content: str = "content", least: int = 4) -> DataFrame:

@@ -19,7 +19,7 @@ from lodeseam.plans.options import DEFAULTS, ScanOptions
 STREAM_CODECS = {"GZIP": "deflate", "ZIP": "deflate", "SWF": "deflate", "ZLIB": "deflate", "BZIP2": "bzip2"}
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut in the folder that all executors share."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -109,7 +109,7 @@ def expand_all(objects: DataFrame, options: ScanOptions = DEFAULTS, key: str = "
         found = level.select("object_id", F.col("stream_id").alias("_s"))
         own = expand_level(level, options).join(found, F.col("stream_id") == F.col("_s")).drop("_s")
         child = F.xxhash64(F.lit("stream"), "stream_id")
-        own = _cut(own.select(child.alias("stream_id"), "object_id", F.col("stream_id").alias("parent_stream_id"), F.lit(depth).alias("depth"), *[x for x in own.columns if x not in ("stream_id", "object_id")]))
+        own = cut(own.select(child.alias("stream_id"), "object_id", F.col("stream_id").alias("parent_stream_id"), F.lit(depth).alias("depth"), *[x for x in own.columns if x not in ("stream_id", "object_id")]))
         out = own if out is None else out.unionByName(own)
         level = own.filter("content IS NOT NULL").select("object_id", "stream_id", "content")
         if level.isEmpty():
@@ -123,7 +123,7 @@ def statistics(streams: DataFrame, options: ScanOptions = DEFAULTS) -> DataFrame
     """A row a format: decompressed_count, recompressed_count (accepted), deepest, limit_reached, last_level."""
     limit = F.lit(False) if options.max_depth is None else F.col("depth") >= options.max_depth
     return streams.groupBy("format").agg(
-        F.count_if("uncompressed_size IS NOT NULL").alias("decompressed_count"),
+        F.count_if(F.col("uncompressed_size").isNotNull()).alias("decompressed_count"),
         F.count_if("accepted").alias("recompressed_count"),
         F.max("depth").alias("deepest"),
         F.bool_or(limit).alias("limit_reached"),
