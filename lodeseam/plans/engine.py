@@ -44,11 +44,12 @@ class Engine:
         made = container.packed(ready).withColumn("verified", codecs.verified(whole, F.col("rebuilt")))
         accepted = F.coalesce(F.col("level").isNotNull() & (F.col("verified") | F.lit(not self.options.verify)), F.lit(False))
         window_bits = F.when(F.col("format") == ID["ZLIB"], F.shiftright(byte(F.col("header"), 0), 4) + 8)
-        return made.select(
+        # Cut: what reads it filters by these columns, which would repeat every codec's expression, and reads it twice.
+        return lineage.cut(made.select(
             F.xxhash64(F.lit("stream"), "stream_id").alias("stream_id"), F.col("stream_id").alias("object_id"), F.lit(None).cast("long").alias("parent_stream_id"),
             F.lit(1).alias("depth"), F.lit(0).cast("long").alias("offset"), "format", "header_length", "compressed_size", "uncompressed_size",
             "level", "memory", window_bits.cast("int").alias("window_bits"), "crc32", accepted.alias("accepted"), "verified", "error", "header", "trailer", "content",
-        )
+        ))
 
     def expand(self, source: str | DataFrame) -> DataFrame:
         """Streams inside streams, to the depth limit."""
