@@ -17,6 +17,7 @@ from lodeseam.llm import (
     quality_rules,
     sharding,
     simhash_dedup,
+    sql,
     substring_dedup,
     token_output,
     url_filters,
@@ -105,4 +106,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_licenses": sql.LICENSES,
+        "op4_decontaminate": sql.DECONTAMINATE,
+        "op6_substrings": sql.SUBSTRINGS,
+        "op8_url_filters": sql.url_filters(URL_LIST),
+        "op10_chat": sql.CHAT,
+    }
