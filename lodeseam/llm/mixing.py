@@ -57,11 +57,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     levels = caps.select(
         "*",
         (budget * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).alias("left"),
+        F.row_number().over(filling).alias("k"),
         (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("weights"),
     )
     # The first source below its cap sets the level of all from it on.
     below = F.col("left") / F.col("weights") < F.col("cap") / F.col("weight")
-    level = F.min(F.when(below, F.struct((F.col("cap") / F.col("weight")).alias("k"), (F.col("left") / F.col("weights")).alias("level")))).over(whole)
+    level = F.min(F.when(below, F.struct("k", (F.col("left") / F.col("weights")).alias("level")))).over(whole)
     out = levels.withColumn("level", level["level"])
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))
     return out.select("source", "source_size", target.alias("target"))
