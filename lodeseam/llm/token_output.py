@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,9 @@ from lodeseam.llm._text import plain, ranges, split, starts, steps
 
 MAGIC = b"LSTOKv1\n"
 #: Coded bytes that a shard has about, and words that a worker remembers at most, twice: recent ones and those before.
-SHARD_BYTES, REMEMBERED = 32_000_000, 300_000
+SHARD_BYTES, REMEMBERED = 16_000_000, 150_000
+#: Text bytes encoded, and tokens decoded, at once.
+STEP_TEXT, STEP_TOKENS = 4_000_000, 1_000_000
 
 # --- coding ---------------------------------------------------------------------------------------------------------
 
@@ -81,8 +85,19 @@ def decode(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndar
 # --- tokenizing -----------------------------------------------------------------------------------------------------
 
 
+#: Words of Latin letters, with at most one stop or comma behind.
+_SIMPLE = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+#: Characters that stand for UTF-8 bytes in byte-level vocabularies: printable ones for themselves, others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+
 class Encoder:
-    """Ids of texts; with by_word, of each distinct word once, remembered in two generations of up to REMEMBERED words."""
+    """Ids of texts; with by_word, of each distinct word once, remembered in two generations of up to REMEMBERED words.
+
+    Where the tokenizer's settings are those of `_plain`, a word of letters is one piece for its model, which is then
+    called without the steps before it; anything else takes the whole way.
+    """
 
     def __init__(self, path: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,22 +106,57 @@ class Encoder:
         self.tokenizer, self.by_word, self.recent, self.before = Tokenizer.from_file(path), by_word, {}, {}
         self.special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         with open(path) as f:
-            self.lowers = '"Lowercase"' in json.dumps(json.load(f)["normalizer"])
+            settings = json.load(f)
+        self.lowers = '"Lowercase"' in json.dumps(settings["normalizer"])
+        self.model = self.tokenizer.model if self._plain(settings) else None
+        self.tails = {t: self._whole(t) if t else b"" for t in ("", ".", ",")}
+
+    @staticmethod
+    def _plain(settings: dict) -> bool:
+        """Lower case, letters in one piece and apart from punctuation, then bytes, then merges."""
+        kinds = lambda x: [k["type"] for k in x.get("normalizers", x.get("pretokenizers", []))] if x else []
+        parts = settings["pre_tokenizer"] or {}
+        return (
+            kinds(settings["normalizer"]) == ["NFC", "Replace", "Lowercase"]
+            and kinds(parts) == ["Split", "ByteLevel"]
+            and "|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in parts["pretokenizers"][0]["pattern"].get("Regex", "")
+            and not (parts["pretokenizers"][1]["use_regex"] or parts["pretokenizers"][1]["add_prefix_space"])
+            and settings["model"]["type"] == "BPE"
+            and not settings["model"]["dropout"]
+        )
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        out, rest = [], []
+        for k, w in enumerate(words):
+            if self.model is not None and (m := _SIMPLE.fullmatch(w)):
+                letters = m[1].lower()
+                if not letters.isascii():
+                    letters = letters.encode().decode("latin-1").translate(_BYTE_LEVEL)
+                out.append(array("I", [t.id for t in self.model.tokenize(letters)]).tobytes() + self.tails[m[2]])
+            else:
+                out.append(b"")
+                rest.append(k)
+        for lo in range(0, len(rest), 4096):
+            some = rest[lo : lo + 4096]
+            coded = self.tokenizer.encode([words[k] for k in some], is_pretokenized=True, add_special_tokens=False)
+            ids, of = np.array(coded.ids, np.uint32), np.array(coded.word_ids, np.int64)
+            data, cuts = ids.tobytes(), 4 * np.searchsorted(of, np.arange(len(some) + 1))
+            for k, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                out[k] = data[a:b]
+        return out
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of each word as unsigned 32-bit integers."""
-        if len(self.recent) + len(words) > REMEMBERED:
+        if len(self.recent) > REMEMBERED:
             self.recent, self.before = {}, self.recent
         recent, before = self.recent, self.before
         found = [recent.get(w) or before.get(w) for w in words]
         new = [k for k, f in enumerate(found) if f is None]
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            coded = self.tokenizer.encode([words[k] for k in some], is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(coded.ids, np.uint32), np.array(coded.word_ids, np.int64)
-            data, cuts = ids.tobytes(), 4 * np.searchsorted(of, np.arange(len(some) + 1))
-            for k, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                found[k] = data[a:b]
+        for k, ids in zip(new, self._new([words[k] for k in new]), strict=True):
+            found[k] = ids
         recent.update(zip(words, found, strict=True))
         return found
 
@@ -126,7 +176,7 @@ class Encoder:
         # A special token's string counts as such wherever it stands, so words with one are encoded as texts.
         for k, w in enumerate(own) if marked else ():
             if any(s in w for s in self.special):
-                found[k] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+                found[k] = self._whole(w)
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.uint32)
         codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -149,7 +199,7 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool) -> D
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
         names = ["doc_id", "tie", "n", "ids", "seen", "times"]
         for batch in batches:
-            for step in steps(batch, "text"):
+            for step in steps(batch, "text", STEP_TEXT):
                 ids, n = own.ids(step.column("text"))
                 ends = np.cumsum(n)
                 whole = np.insert(ids, ends, end_id).astype("<u4")
@@ -187,7 +237,7 @@ def shard_bytes(number: int, first: int, doc_ids: pa.Array, counts: np.ndarray,
 
 
 def read_shard(data: bytes) -> dict:
-    """What a shard file holds: number, first, doc_ids, counts and ranks (of all its documents)."""
+    """What a shard file holds: number, first, doc_ids, counts, sizes (control and data bytes a document), control, data."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token shard")
     at = len(MAGIC)
@@ -200,11 +250,21 @@ def read_shard(data: bytes) -> dict:
     sizes = np.frombuffer(data, "<i8", 2 * n, at + 8 * n).reshape(n, 2)
     at += 24 * n
     n_control, n_data = sizes.sum(axis=0).tolist() if n else (0, 0)
-    control = np.frombuffer(data, np.uint8, n_control, at)
-    coded = np.frombuffer(data, np.uint8, n_data, at + n_control)
-    ranks = decode(control, coded, counts)
-    assert len(ranks) == n_tokens
-    return {"number": number, "first": first, "doc_ids": pa.array(ids, mask=nulls.astype(bool)), "counts": counts, "ranks": ranks}
+    if int(counts.sum()) != n_tokens or len(data) != at + n_control + n_data:
+        raise ValueError("a token shard is cut short")
+    control, coded = np.frombuffer(data, np.uint8, n_control, at), np.frombuffer(data, np.uint8, n_data, at + n_control)
+    return {"number": number, "first": first, "doc_ids": pa.array(ids, mask=nulls.astype(bool)), "counts": counts, "sizes": sizes, "control": control, "data": coded}
+
+
+def decoded(shard: dict, most: int = STEP_TOKENS) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(lo, hi, ranks) of runs of a shard's documents with about `most` tokens each."""
+    ends, lo = np.cumsum(shard["counts"]), 0
+    cuts = np.concatenate((np.zeros((1, 2), np.int64), np.cumsum(shard["sizes"], axis=0)))
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        (a, b), (c, d) = cuts[lo], cuts[hi]
+        yield lo, hi, decode(shard["control"][a:c], shard["data"][b:d], shard["counts"][lo:hi])
+        lo = hi
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, by_word: bool = True, shard: int = SHARD_BYTES) -> None:
@@ -291,13 +351,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for number in (n for b in batches for n in b.column(0).to_pylist() if n in firsts):
             with fs.open_input_stream(f"{root}/shard-{number:06d}.tok") as f:
                 own = read_shard(f.read())
-            ids = by_rank[own["ranks"]].astype("<u4")
-            cuts = starts(own["counts"])
-            for lo in range(0, len(own["counts"]), 1000):
-                hi = min(lo + 1000, len(own["counts"]))
-                blobs = [ids[a:b].tobytes() for a, b in zip(cuts[lo:hi].tolist(), cuts[lo + 1 : hi + 1].tolist(), strict=True)]
+            firsts_of = firsts[number] + starts(own["counts"])
+            for lo, hi, ranks in decoded(own):
+                ids, cuts = by_rank[ranks].astype("<u4"), 4 * starts(own["counts"][lo:hi])
+                blobs = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(cuts), pa.py_buffer(ids.tobytes())])
                 yield pa.record_batch(
-                    [own["doc_ids"].slice(lo, hi - lo), pa.array(firsts[number] + cuts[lo:hi]), pa.array(own["counts"][lo:hi]), pa.array(blobs, pa.binary())],
+                    [own["doc_ids"].slice(lo, hi - lo), pa.array(firsts_of[lo:hi]), pa.array(own["counts"][lo:hi]), blobs.cast(pa.binary())],
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
