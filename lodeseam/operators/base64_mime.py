@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 import binascii
+import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseam.functions.bytes import part, size
 from lodeseam.functions.detect import is_base64
-from lodeseam.functions.headers import base64_header_length, line_case, lines_fit
+from lodeseam.functions.headers import base64_header_length, line_case
 from lodeseam.functions.registry import ID
 
-#: Characters of base64 data; decoding alone would let others pass.
-ALPHABET = r"^[A-Za-z0-9+/]*={0,2}$"
-
-
 def character_value(character: Column) -> Column:
     """0 to 63 for the characters of the alphabet, 64 for `=`, else 65."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/="
@@ -24,11 +22,6 @@ def character_value(character: Column) -> Column:
     return F.when((at > 0) & (F.length(character) > 0), at - 1).otherwise(65)
 
 
-def line_lengths(body: Column) -> Column:
-    """Lengths of the lines of a body, without the empty one after a last line end."""
-    return F.transform(F.split(F.regexp_replace(body, "\r\n$", ""), "\r\n"), lambda x: F.length(x))
-
-
 def _wrapped(data: bytes, lengths: list[int]) -> str:
     text, out, at = binascii.b2a_base64(data, newline=False).decode(), [], 0
     for n in lengths:
@@ -48,25 +41,46 @@ def wrap(data: Column, lengths: Column) -> Column:
     return run(data, lengths)
 
 
+_BODY = pa.struct([("line_len", pa.list_(pa.int32())), ("ends", pa.bool_()), ("decoded", pa.binary()), ("identical", pa.int32()), ("accepted", pa.bool_())])
+BODY = "struct<line_len: array<int>, ends: boolean, decoded: binary, identical: int, accepted: boolean>"
+_ALPHABET = re.compile(rb"[A-Za-z0-9+/]+={0,2}")
+
+
+def _body(body: bytes, least: int) -> dict:
+    """Lines, content, and how much of the body comes back when the content is encoded again in these lines."""
+    ends = body.endswith(b"\r\n")
+    lines = (body[:-2] if ends else body).split(b"\r\n")
+    lengths, text = [len(x) for x in lines], b"".join(lines)
+    out = {"line_len": lengths, "ends": ends, "decoded": None, "identical": 0, "accepted": False}
+    if max(lengths) > 255 or len(lengths) > 65534 or len(text) % 4 or not _ALPHABET.fullmatch(text):
+        return out
+    out["decoded"] = data = binascii.a2b_base64(text)
+    again = _wrapped(data, lengths).encode() + (b"\r\n" if ends else b"")
+    if again == body:
+        out["identical"] = len(body)
+    else:
+        a, b = (np.frombuffer(x[: min(len(again), len(body))], np.uint8) for x in (again, body))
+        out["identical"] = int(np.argmax(a != b)) if (a != b).any() else len(a)
+    return out | {"accepted": again == body and len(body) > least}
+
+
 def decode(objects: DataFrame, key: str = "object_id", content: str = "content", least: int = 4) -> DataFrame:
-    """A row for each MIME base64 object.
+    """A row for each MIME base64 object; native predicates choose them, their bodies are read in Arrow batches.
 
     header_length, line_len, line_case, ends (whether a line end follows the last line), decoded, identical (bytes of the
     re-encoded body equal to the original from its start), accepted: identical exceeds `least` and covers the body.
     """
     c = F.col(content)
+
+    @F.arrow_udf(BODY)
+    def run(body: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else _body(x, least) for x in body.to_pylist()], _BODY)
+
     own = objects.filter(is_base64(c)).withColumn("header_length", base64_header_length(c)).filter("header_length >= 0")
-    body = F.decode(part(c, F.col("header_length"), size(c)), "ISO-8859-1")
-    own = own.withColumn("_body", body).withColumn("line_len", line_lengths(F.col("_body"))).withColumn("ends", F.endswith("_body", F.lit("\r\n")))
-    text = F.replace(F.col("_body"), F.lit("\r\n"), F.lit(""))
-    valid = F.regexp_like(text, F.lit(ALPHABET)) & (F.length(text) % 4 == 0) & (F.length(text) > 0) & lines_fit(F.col("line_len"))
-    own = own.withColumn("decoded", F.when(valid, F.unbase64(text)))
-    rebuilt = F.concat(wrap(F.col("decoded"), F.col("line_len")), F.when(F.col("ends"), "\r\n").otherwise(""))
-    own = own.withColumn("_again", rebuilt).withColumn("identical", F.coalesce(common_prefix(F.col("_body"), F.col("_again")), F.lit(0)))
-    accepted = (F.col("identical") > least) & (F.col("_body") == F.col("_again"))
+    own = own.withColumn("_b", run(part(c, F.col("header_length"), size(c))))
     return own.select(
-        key, F.lit(ID["BASE64"]).alias("format"), "header_length", part(c, 0, F.col("header_length")).alias("header"), "line_len",
-        line_case(F.col("line_len")).cast("int").alias("line_case"), "ends", "decoded", "identical", F.coalesce(accepted, F.lit(False)).alias("accepted"),
+        key, F.lit(ID["BASE64"]).alias("format"), "header_length", part(c, 0, F.col("header_length")).alias("header"), "_b.line_len",
+        line_case(F.col("_b.line_len")).cast("int").alias("line_case"), "_b.ends", "_b.decoded", "_b.identical", "_b.accepted",
     )
 
 

@@ -466,14 +466,14 @@ def _nested(spark, sf_dir) -> DataFrame:
     return lineage.cut(rows)  # as a table that is scanned: else its expressions would be repeated in every rule
 
 
-@query("""SELECT doc_id AS object_id, d AS depth, CASE (doc_id % 4 - d)::INT WHEN 0 THEN 11 WHEN 1 THEN 3 ELSE 10 END AS format FROM documents, range(1, 4) AS t(d) WHERE doc_id % 4 >= d""")
+@query("""SELECT doc_id AS object_id, d::INT AS depth, CASE (doc_id % 4 - d)::INT WHEN 0 THEN 11 WHEN 1 THEN 3 ELSE 10 END AS format FROM documents, range(1, 4) AS t(d) WHERE doc_id % 4 >= d""")
 def nested_streams(spark, sf_dir):
     """Streams in streams, level by level."""
     found = lineage.expand_all(_nested(spark, sf_dir), ScanOptions(max_depth=10)).filter("error IS NULL")
     return found.select("object_id", "depth", "format")
 
 
-@query("""WITH s AS (SELECT doc_id AS object_id, d AS depth, CASE (doc_id % 4 - d)::INT WHEN 0 THEN 11 WHEN 1 THEN 3 ELSE 10 END AS format FROM documents, range(1, 3) AS t(d) WHERE doc_id % 4 >= d)
+@query("""WITH s AS (SELECT doc_id AS object_id, d::INT AS depth, CASE (doc_id % 4 - d)::INT WHEN 0 THEN 11 WHEN 1 THEN 3 ELSE 10 END AS format FROM documents, range(1, 3) AS t(d) WHERE doc_id % 4 >= d)
 SELECT format, count(*) AS decompressed_count, max(depth)::INT AS deepest, bool_or(depth >= 2) AS limit_reached FROM s GROUP BY format""")
 def stream_statistics(spark, sf_dir):
     options = ScanOptions(max_depth=2)
