@@ -113,7 +113,7 @@ def _windows(flagged: DataFrame, window: int) -> DataFrame:
                 columns = [rid, np.repeat(found.anchor[own], n).view(np.int64), found.full[places].view(np.int64)]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["rid", "anchor", "full"])
 
-    return flagged.select("rid", "text", "mixed").mapInArrow(of, "rid long, anchor long, full long")
+    return flagged.select("doc_id", "rid", "text", "mixed").mapInArrow(of, "rid long, anchor long, full long")
 
 
 def _kept(flagged: DataFrame, window: int) -> DataFrame:
@@ -144,7 +144,7 @@ def _kept(flagged: DataFrame, window: int) -> DataFrame:
                     ["doc_id", "n_words", "n_removed", "kept_text"],
                 )
 
-    return flagged.select("doc_id", "text", "whole", "repeated").mapInArrow(of, "doc_id long, n_words long, n_removed long, kept_text string")
+    return flagged.select("doc_id", "rid", "text", "whole", "repeated").mapInArrow(of, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -152,17 +152,21 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     small_batches(docs.sparkSession)
     text = F.col("text").cast("string").alias("text")
     own = docs.select(F.col("doc_id").cast("long"), text, F.xxhash64("doc_id", "text").alias("rid"))
-    # Level one: anchors that occur twice or more, and whether all words around them agree.
+    # Level one: anchors that occur twice or more, and whether all words around them agree.  Counts are joined back by
+    # the complement, which they aren't dealt out by: both sides then have an exchange, so that skew can be split.
     anchors = _anchors(own, window)
     counts = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b"))
-    counts = counts.filter("n > 1").select("anchor", (F.col("a") == F.col("b")).alias("agree"))
-    flags = anchors.select("rid", "anchor").join(counts, "anchor").groupBy("rid")
+    counts = counts.filter("n > 1").select(F.bitwise_not("anchor").alias("other"), (F.col("a") == F.col("b")).alias("agree"))
+    flags = anchors.select("rid", "anchor", F.bitwise_not("anchor").alias("other")).join(counts, "other").groupBy("rid")
     listed = lambda c, v: F.collect_set(F.when(c, F.col(v)))
     flags = cut(flags.agg(listed(F.col("agree"), "anchor").alias("whole"), listed(~F.col("agree"), "anchor").alias("mixed")))
-    # Level two: final windows around the others, counted one by one.  The texts' exchange serves both joins.
+    # Level two: final windows around the others, counted one by one.  The texts' exchange serves all joins, so they are
+    # in one plan, with the same columns.
     texts = own.repartition("rid")
-    windows = cut(_windows(texts.join(flags.filter("size(mixed) > 0").select("rid", "mixed"), "rid"), window))
-    again = windows.groupBy("anchor", "full").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    repeated = windows.join(again, ["anchor", "full"]).groupBy("rid").agg(F.collect_set("full").alias("repeated"))
+    windows = _windows(texts.join(flags.filter("size(mixed) > 0").select("rid", "mixed"), "rid"), window)
+    other = [F.bitwise_not(c).alias(f"other_{c}") for c in ("anchor", "full")]
+    again = windows.groupBy("anchor", "full").agg(F.count("*").alias("n")).filter("n > 1").select(*other)
+    repeated = windows.select("rid", "full", *other).join(again, ["other_anchor", "other_full"])
+    repeated = repeated.groupBy("rid").agg(F.collect_set("full").alias("repeated"))
     whole = flags.filter("size(whole) > 0").select("rid", "whole")
     return _kept(texts.join(whole, "rid", "left").join(repeated, "rid", "left"), window)
