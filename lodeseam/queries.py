@@ -355,7 +355,8 @@ def _mime(spark, sf_dir) -> DataFrame:
     lengths = F.transform(F.sequence(F.lit(1), F.ceil(F.octet_length(text) / 57).cast("int")), lambda _: F.lit(76))
     body = F.when(F.octet_length(text) > 0, base64_mime.wrap(text, lengths)).otherwise("")
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("object_id"), F.encode(F.concat(F.lit(_HEAD), body, F.lit("\r\n")), "ISO-8859-1").alias("content"))
+    made = F.encode(F.concat(F.lit(_HEAD), body, F.lit("\r\n")), "ISO-8859-1")
+    return lineage.cut(docs.select(F.col("doc_id").alias("object_id"), made.alias("content")))  # scanned, not made anew for each filter
 
 
 _B64 = "(4 * ceil(octet_length(encode(text)) / 3.0))::BIGINT"
