@@ -39,7 +39,7 @@ from lodeseam.llm._text import plain, ranges, split, starts, steps
 
 MAGIC = b"LSTOKv1\n"
 #: Coded bytes that a shard has about, and words that a worker remembers at most, twice: recent ones and those before.
-SHARD_BYTES, REMEMBERED = 16_000_000, 150_000
+SHARD_BYTES, REMEMBERED = 16_000_000, 250_000
 #: Text bytes encoded, and tokens decoded, at once.
 STEP_TEXT, STEP_TOKENS = 4_000_000, 1_000_000
 
@@ -128,17 +128,26 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
+    def _letters(self, word: str) -> bytes:
+        """Ids of a word of letters."""
+        letters = word.lower()
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def _new(self, words: list[str]) -> list[bytes]:
-        out, rest = [], []
+        out, rest, recent, before = [], [], self.recent, self.before
         for k, w in enumerate(words):
-            if self.model is not None and (m := _SIMPLE.fullmatch(w)):
-                letters = m[1].lower()
-                if not letters.isascii():
-                    letters = letters.encode().decode("latin-1").translate(_BYTE_LEVEL)
-                out.append(array("I", [t.id for t in self.model.tokenize(letters)]).tobytes() + self.tails[m[2]])
-            else:
+            if self.model is None or not (m := _SIMPLE.fullmatch(w)):
                 out.append(b"")
                 rest.append(k)
+            elif not m[2]:
+                out.append(self._letters(w))
+            else:
+                ids = recent.get(m[1]) or before.get(m[1])
+                if ids is None:
+                    recent[m[1]] = ids = self._letters(m[1])
+                out.append(ids + self.tails[m[2]])
         for lo in range(0, len(rest), 4096):
             some = rest[lo : lo + 4096]
             coded = self.tokenizer.encode([words[k] for k in some], is_pretokenized=True, add_special_tokens=False)
