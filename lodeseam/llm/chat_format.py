@@ -4,6 +4,10 @@ A record is a JSON object.  Its schema (field names and nesting, whatever the va
 hashed; the hash selects a declarative mapping, which says where roles and texts lie.  Layouts with an array of
 messages, prompt and response pairs and instruction records become the same canonical array of (role, text) turns.
 
+JSON functions give null for a string of over 20,000,000 characters and for a record over the variant limit.  So
+`records` writes roles and texts into an array beside the record, and their places in it into the record: no text goes
+through JSON, whatever its length.
+
 The template writes a turn as `### role: text</turn>` and a line feed.  Inside roles and texts a backslash, `#`, `<`
 (and `:` in roles) are written as a backslash and a letter, so what marks turns never stands in them and `parse` gives
 back exactly what was formatted.  The loss mask is a list of (start, length) in code points of the formatted text, one
@@ -17,6 +21,7 @@ conversation; repeated rows are repeated turns; other columns don't matter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +33,8 @@ BEGIN, MIDDLE, END = "### ", ": ", "</turn>\n"
 ESCAPES = (("\\", "\\s"), ("#", "\\h"), ("<", "\\l"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
 LEARNED_ROLE = "assistant"
+#: The column of strings that a record's own strings are places in, where there is one.
+STRINGS = "_strings"
 
 
 @dataclass(frozen=True)
@@ -95,15 +102,15 @@ def _role(role: Column, rename: bool) -> Column:
     return out
 
 
-def _turns(record: Column, m: Mapping) -> Column:
+def _turns(record: Column, m: Mapping, meant: Callable[[Column], Column]) -> Column:
     turn = lambda role, text: F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     if m.messages:
         path, role, text = m.messages
         items = F.from_json(F.get_json_object(record, f"$.{path}"), f"array<struct<`{role}`: string, `{text}`: string>>")
-        return F.transform(items, lambda x: turn(_role(x[role], m.rename), x[text]))
+        return F.transform(items, lambda x: turn(_role(meant(x[role]), m.rename), meant(x[text])))
     out = []
     for role, paths, optional in m.turns:
-        texts = [F.get_json_object(record, f"$.{p}") for p in paths]
+        texts = [meant(F.get_json_object(record, f"$.{p}")) for p in paths]
         whole = texts[0] if len(texts) == 1 else F.array_join(F.filter(F.array(*texts), lambda t: t != ""), "\n\n")
         made = turn(F.lit(role), whole)
         out.append(F.when(F.coalesce(whole, F.lit("")) != "", made) if optional else made)
@@ -111,14 +118,18 @@ def _turns(record: Column, m: Mapping) -> Column:
 
 
 def canonical(records: DataFrame, column: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """records with layout and turns: each record's mapping is the one of its schema's hash."""
+    """records with layout and turns: each record's mapping is the one of its schema's hash.
+
+    In records with a column STRINGS, which goes, a record's strings are places in that array.
+    """
+    meant = (lambda c: F.get(STRINGS, c.cast("int"))) if STRINGS in records.columns else lambda c: c
     record, mark = F.col(column), F.col("_fingerprint")
     turns, layout = F.lit(None).cast(TURNS), F.lit(None).cast("string")
     for m in reversed(mappings):
         known = mark.isin(*(F.xxhash64(F.lit(_plainly(s))) for s in m.schemas))
-        turns, layout = F.when(known, _turns(record, m)).otherwise(turns), F.when(known, m.name).otherwise(layout)
+        turns, layout = F.when(known, _turns(record, m, meant)).otherwise(turns), F.when(known, m.name).otherwise(layout)
     marked = records.withColumn("_fingerprint", fingerprint(record))
-    return marked.withColumn("layout", layout).withColumn("turns", turns.cast(TURNS)).drop("_fingerprint")
+    return marked.withColumn("layout", layout).withColumn("turns", turns.cast(TURNS)).drop("_fingerprint", STRINGS)
 
 
 def _written(text: Column, escapes: tuple[tuple[str, str], ...]) -> Column:
@@ -176,7 +187,7 @@ def learned(text: Column, mask: Column) -> Column:
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """conv_id and record: turns by row (conv_id, turn, role, text) as records, in the layout that their roles allow.
+    """conv_id, record and STRINGS: turns by row (conv_id, turn, role, text) as records, in the layout that their roles allow.
 
     A user and an assistant turn are a prompt record, with a system turn before them a system_prompt record, anything
     else a messages record.
@@ -186,12 +197,13 @@ def records(rows: DataFrame) -> DataFrame:
     grouped = rows.groupBy("conv_id").agg(turns.alias("_turns"))
     roles, text = F.array_join("_turns.role", "\x1f"), lambda k: F.get("_turns", F.lit(k))["text"]
     json = lambda *c: F.to_json(F.struct(*c))
+    at = lambda k: F.lit(str(k))
     made = (
-        F.when(roles == "user\x1fassistant", json(text(0).alias("prompt"), text(1).alias("response")))
-        .when((roles == "system\x1fuser\x1fassistant") & (text(0) != ""), json(text(0).alias("system"), text(1).alias("prompt"), text(2).alias("response")))
-        .otherwise(json(F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
+        F.when(roles == "user\x1fassistant", json(at(0).alias("prompt"), at(1).alias("response")))
+        .when((roles == "system\x1fuser\x1fassistant") & (text(0) != ""), json(at(0).alias("system"), at(1).alias("prompt"), at(2).alias("response")))
+        .otherwise(json(F.transform("_turns", lambda t, k: F.struct((F.size("_turns") + k).cast("string").alias("role"), k.cast("string").alias("content"))).alias("messages")))
     )
-    return grouped.select("conv_id", made.alias("record"))
+    return grouped.select("conv_id", made.alias("record"), F.concat("_turns.text", "_turns.role").alias(STRINGS))
 
 
 def digest(rows: DataFrame) -> DataFrame:
