@@ -82,9 +82,11 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sharding.place(table(spark, sf_dir, "documents"), SHARDS, with_text=False)
+    found = sharding.place(table(spark, sf_dir, "documents"), SHARDS)
     none = F.lit(None).cast("int").alias("grown_shard")
-    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", none)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))  # as it was placed
+    size, crc32 = F.octet_length(text).cast("long") + 1, F.crc32(text.cast("binary"))
+    return found.select("doc_id", size.alias("size"), crc32.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", none)
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
