@@ -1,27 +1,28 @@
 """Token ids as binary shards: frequency-ranked ids in byte-aligned variable-length coding.
 
 Three steps.  (1) Texts are encoded in Arrow batches with the tokenizers library and put down as compressed rows, with
-the batch's token counts as rows beside them.  (2) Ids are ranked by their frequency over the whole corpus, so the
+each task's token counts as rows beside them.  (2) Ids are ranked by their frequency over the whole corpus, so the
 most frequent 256 take one byte; a rank is a bounded table of the vocabulary's size.  (3) Ranks are coded with two
 bits of length each in control bytes (four to a byte) apart from one to four data bytes each, dealt out by ranges of
-doc_id, sorted, and each partition writes one shard file under a temporary name that it then renames: a task that runs
-twice writes the same bytes.
+doc_id, sorted, and each partition streams its rows to a shard file under a temporary name that it then renames: a
+task that runs twice writes the same bytes.
 
-A shard file (little-endian): magic, shard number, number of documents, number of tokens, the ids of all documents
-before it; doc_ids (their nulls as a byte each), tokens a document, bytes of control and of data a document; control
-bytes; data bytes.  `decode` reads the ranks of many documents at once: a table of 256 rows gives the lengths of the
-four numbers of each control byte, and a gather of the data bytes at the summed offsets gives the numbers.
-
-Words (between white space) are encoded once a batch and remembered up to a bound, since the vocabulary's tokenizers
-split at white space anyway; a tokenizer without that property is called with whole texts (`by_word=False`).
+A shard file (little-endian): magic and shard number; blocks of about STEP_TOKENS tokens, each with its numbers of
+documents, control bytes and data bytes, the doc_ids (their nulls as a byte each), tokens a document, bytes of control
+and of data a document, control bytes, data bytes; at the end -1, documents and tokens of the file.  `decode` reads the
+ranks of a block at once: a table of 256 rows gives the lengths of the four numbers of each control byte, and a gather
+of the data bytes at the summed offsets gives the numbers.
 
 Defined results: a null text is the empty text, a document is ended by the end id in any case; rows with a null doc_id
-come first, equal doc_ids in the order of a hash of the text; an empty table gives no shard; other columns don't matter.
+come first, equal doc_ids in the order of a hash of the text, and rows of one doc_id can lie in several shards; an empty
+table gives no shard; other columns don't matter.
 """
 
 from __future__ import annotations
 
+import gc
 import json
+import operator
 import os
 import re
 from array import array
@@ -38,10 +39,11 @@ from lodeseam.llm._shared import new_path, remove, small_batches
 from lodeseam.llm._text import plain, ranges, split, starts, steps
 
 MAGIC = b"LSTOKv1\n"
-#: Coded bytes that a shard has about, and words that a worker remembers at most, twice: recent ones and those before.
-SHARD_BYTES, REMEMBERED = 16_000_000, 250_000
-#: Text bytes encoded, and tokens decoded, at once.
-STEP_TEXT, STEP_TOKENS = 4_000_000, 1_000_000
+#: Coded bytes that a shard has about, shards at most (they are longer beyond), rows that their edges are found from: so
+#: many, and so many a shard.
+SHARD_BYTES, MOST_SHARDS, SAMPLE, SAMPLE_PER_SHARD = 16_000_000, 1 << 16, 10_000, 20
+#: Text bytes encoded at once, tokens of a block about, coded bytes added to a block at once, and words remembered.
+STEP_TEXT, STEP_TOKENS, STEP_CODED, REMEMBERED = 4_000_000, 1_000_000, 4_000_000, 800_000
 
 # --- coding ---------------------------------------------------------------------------------------------------------
 
@@ -85,89 +87,92 @@ def decode(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndar
 # --- tokenizing -----------------------------------------------------------------------------------------------------
 
 
-#: Words of Latin letters, with at most one stop or comma behind.
-_SIMPLE = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+#: Words of Latin letters, with ASCII punctuation (no apostrophe) behind or none; any other word, up to the line's end.
+_SIMPLE = re.compile(r"^(?:([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)|(.+))$", re.M)
 #: Characters that stand for UTF-8 bytes in byte-level vocabularies: printable ones for themselves, others from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LEVEL = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+_ID = operator.attrgetter("id")
+
+
+def by_words(settings: dict) -> bool:
+    """Whether a tokenizer with these settings gives a text the ids of its words between white space, one after another.
+
+    It does where white space is dropped and letters are apart from punctuation: lower case, letters in one piece,
+    then bytes, then merges.
+    """
+    kinds = lambda x: [k["type"] for k in x.get("normalizers", x.get("pretokenizers", []))] if x else []
+    parts = settings["pre_tokenizer"] or {}
+    return (
+        kinds(settings["normalizer"]) == ["NFC", "Replace", "Lowercase"]
+        and kinds(parts) == ["Split", "ByteLevel"]
+        and "|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in parts["pretokenizers"][0]["pattern"].get("Regex", "")
+        and parts["pretokenizers"][0]["invert"]
+        and parts["pretokenizers"][0]["behavior"] == "Removed"
+        and not (parts["pretokenizers"][1]["use_regex"] or parts["pretokenizers"][1]["add_prefix_space"])
+        and settings["model"]["type"] == "BPE"
+        and not settings["model"]["dropout"]
+    )
 
 
 class Encoder:
-    """Ids of texts; with by_word, of each distinct word once, remembered in two generations of up to REMEMBERED words.
+    """Ids of texts by the tokenizers library.
 
-    Where the tokenizer's settings are those of `_plain`, a word of letters is one piece for its model, which is then
-    called without the steps before it; anything else takes the whole way.
+    Where `by_words` holds, each distinct word is encoded once and remembered, up to REMEMBERED words: a word of letters
+    is one piece for the library's model, which is then called without the steps before it, and punctuation behind it
+    another; any other word takes the whole way.  Other tokenizers get whole texts.
     """
 
-    def __init__(self, path: str, by_word: bool):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.recent, self.before = Tokenizer.from_file(path), by_word, {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         with open(path) as f:
-            settings = json.load(f)
-        self.lowers = '"Lowercase"' in json.dumps(settings["normalizer"])
-        self.model = self.tokenizer.model if self._plain(settings) else None
-        self.tails = {t: self._whole(t) if t else b"" for t in ("", ".", ",")}
-
-    @staticmethod
-    def _plain(settings: dict) -> bool:
-        """Lower case, letters in one piece and apart from punctuation, then bytes, then merges."""
-        kinds = lambda x: [k["type"] for k in x.get("normalizers", x.get("pretokenizers", []))] if x else []
-        parts = settings["pre_tokenizer"] or {}
-        return (
-            kinds(settings["normalizer"]) == ["NFC", "Replace", "Lowercase"]
-            and kinds(parts) == ["Split", "ByteLevel"]
-            and "|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in parts["pretokenizers"][0]["pattern"].get("Regex", "")
-            and not (parts["pretokenizers"][1]["use_regex"] or parts["pretokenizers"][1]["add_prefix_space"])
-            and settings["model"]["type"] == "BPE"
-            and not settings["model"]["dropout"]
-        )
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _letters(self, word: str) -> bytes:
-        """Ids of a word of letters."""
-        letters = word.lower()
-        if not letters.isascii():
-            letters = letters.encode().decode("latin-1").translate(_BYTE_LEVEL)
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-
-    def _new(self, words: list[str]) -> list[bytes]:
-        out, rest, recent, before = [], [], self.recent, self.before
-        for k, w in enumerate(words):
-            if self.model is None or not (m := _SIMPLE.fullmatch(w)):
-                out.append(b"")
-                rest.append(k)
-            elif not m[2]:
-                out.append(self._letters(w))
-            else:
-                ids = recent.get(m[1]) or before.get(m[1])
-                if ids is None:
-                    recent[m[1]] = ids = self._letters(m[1])
-                out.append(ids + self.tails[m[2]])
+            self.by_word = by_words(json.load(f))
+        self.model = self.tokenizer.model
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Of each word its number, and where the ids of each number end; punctuation by itself.
+        self.known, self.flat, self.ends, self.tails = {}, array("I"), array("q", [0]), {"": array("I")}
+
+    def _whole(self, text: str) -> array:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _add(self, word: str, ids: array | list[int]) -> None:
+        self.known[word] = len(self.ends) - 1
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+
+    def _learn(self, words: list[str]) -> None:
+        """Remembers the ids of words that aren't known."""
+        known, flat, ends, tails, tokenize, rest = self.known, self.flat, self.ends, self.tails, self.model.tokenize, []
+        for (stem, tail, other), word in zip(_SIMPLE.findall("\n".join(words)), words, strict=True):
+            if other:
+                rest.append(word)
+                continue
+            if (at := known.get(stem)) is None:
+                letters = stem.lower()
+                if not letters.isascii():
+                    letters = letters.encode().decode("latin-1").translate(_BYTE_LEVEL)
+                flat.extend(map(_ID, tokenize(letters)))
+                known[stem] = at = len(ends) - 1
+                ends.append(len(flat))
+            if tail:
+                if (more := tails.get(tail)) is None:
+                    tails[tail] = more = self._whole(tail)
+                flat.extend(flat[ends[at] : ends[at + 1]] + more)
+                known[word] = len(ends) - 1
+                ends.append(len(flat))
         for lo in range(0, len(rest), 4096):
             some = rest[lo : lo + 4096]
-            coded = self.tokenizer.encode([words[k] for k in some], is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(coded.ids, np.uint32), np.array(coded.word_ids, np.int64)
-            data, cuts = ids.tobytes(), 4 * np.searchsorted(of, np.arange(len(some) + 1))
-            for k, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                out[k] = data[a:b]
-        return out
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as unsigned 32-bit integers."""
-        if len(self.recent) > REMEMBERED:
-            self.recent, self.before = {}, self.recent
-        recent, before = self.recent, self.before
-        found = [recent.get(w) or before.get(w) for w in words]
-        new = [k for k, f in enumerate(found) if f is None]
-        for k, ids in zip(new, self._new([words[k] for k in new]), strict=True):
-            found[k] = ids
-        recent.update(zip(words, found, strict=True))
-        return found
+            coded = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = array("I", coded.ids)
+            cuts = np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(some) + 1)).tolist()
+            for word, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
+                self._add(word, ids[a:b])
 
     def ids(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and how many each has."""
@@ -176,34 +181,43 @@ class Encoder:
             coded = [e.ids for e in self.tokenizer.encode_batch_fast(text.to_pylist(), add_special_tokens=False)]
             return np.array([i for c in coded for i in c], np.uint32), np.array([len(c) for c in coded], np.int64)
         marked = pc.any(pc.match_substring(text, "<|")).as_py()
-        if self.lowers and not marked:  # else a string that isn't special could become so
+        if not marked:  # else a string that isn't special could become so
             text = pc.ascii_lower(text)
         words, counts = split(text)
         coded = words.dictionary_encode()
-        own = coded.dictionary.to_pylist()
-        found = self._words(own)
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        gc.disable()  # many small objects that aren't cycles
+        try:
+            self._learn([w for w in own if w not in self.known])
+        finally:
+            gc.enable()
+        number = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
+        ends = np.frombuffer(self.ends, np.int64)
+        flat, begins, lengths = np.frombuffer(self.flat, np.uint32), ends[number], np.diff(ends)[number]
         # A special token's string counts as such wherever it stands, so words with one are encoded as texts.
-        for k, w in enumerate(own) if marked else ():
-            if any(s in w for s in self.special):
-                found[k] = self._whole(w)
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), np.uint32)
+        special = [k for k, w in enumerate(own) if any(s in w for s in self.special)] if marked else []
+        if special:
+            more = [self._whole(own[k]) for k in special]
+            lengths[special] = [len(m) for m in more]
+            begins[special] = len(flat) + starts(lengths[special])[:-1]
+            flat = np.concatenate([flat, *more])
         codes = coded.indices.to_numpy(zero_copy_only=False)
         n = lengths[codes]
-        ids = flat[ranges(starts(lengths)[:-1][codes], n)]
         total = np.concatenate(([0], np.cumsum(n)))[starts(counts)]
-        return ids, np.diff(total)
+        return flat[ranges(begins[codes], n)], np.diff(total)
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool) -> DataFrame:
-    """Rows of documents (doc_id, tie, n, ids) and, for each batch, of counts (seen, times)."""
+def _tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """Rows of documents (doc_id, tie, n, ids) and, for each task, of counts (seen, times)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _ENCODERS.setdefault((tokenizer, by_word), None) or Encoder(tokenizer, by_word)
-        _ENCODERS[tokenizer, by_word] = own
+        own = _ENCODERS.get(tokenizer) or Encoder(tokenizer)
+        _ENCODERS[tokenizer] = own
         times = np.zeros(0, np.int64)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
         names = ["doc_id", "tie", "n", "ids", "seen", "times"]
@@ -230,6 +244,20 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool) -> D
     return docs.select("doc_id", "text", "tie").mapInArrow(of, schema)
 
 
+def _numbers(blobs: pa.Array, n: np.ndarray) -> np.ndarray:
+    """The ids of all rows, each with two or four bytes an id."""
+    lengths = pc.binary_length(blobs).to_numpy(zero_copy_only=False).astype(np.int64)
+    _, offsets, data = blobs.buffers()
+    if not len(n) or data is None:
+        return np.zeros(0, np.uint32)
+    first = int(np.frombuffer(offsets, np.int32, 1, 4 * blobs.offset)[0])
+    for kind in (np.uint16, np.uint32):
+        if np.array_equal(lengths, n * kind().itemsize):
+            return np.frombuffer(data, kind, int(n.sum()), first)
+    wide = (lengths == 4 * n).tolist()
+    return np.concatenate([np.frombuffer(b, "<u4" if w else "<u2").astype(np.uint32) for b, w in zip(blobs.to_pylist(), wide, strict=True)])
+
+
 # --- files ----------------------------------------------------------------------------------------------------------
 
 
@@ -237,107 +265,152 @@ def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}")
 
 
-def shard_bytes(number: int, first: int, doc_ids: pa.Array, counts: np.ndarray, sizes: np.ndarray, control: bytes, data: bytes) -> bytes:
-    """A shard file; sizes: control and data bytes of each document."""
-    head = np.array([number, len(counts), int(counts.sum()), first], "<i8").tobytes()
-    nulls = pc.is_null(doc_ids).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
-    ids = pc.fill_null(doc_ids, 0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
-    return b"".join((MAGIC, head, ids, nulls, counts.astype("<i8").tobytes(), sizes.astype("<i8").tobytes(), control, data))
-
-
-def read_shard(data: bytes) -> dict:
-    """What a shard file holds: number, first, doc_ids, counts, sizes (control and data bytes a document), control, data."""
-    if data[: len(MAGIC)] != MAGIC:
-        raise ValueError("not a token shard")
-    at = len(MAGIC)
-    number, n, n_tokens, first = np.frombuffer(data, "<i8", 4, at).tolist()
-    at += 32
-    ids = np.frombuffer(data, "<i8", n, at)
-    nulls = np.frombuffer(data, np.uint8, n, at + 8 * n)
-    at += 9 * n
-    counts = np.frombuffer(data, "<i8", n, at)
-    sizes = np.frombuffer(data, "<i8", 2 * n, at + 8 * n).reshape(n, 2)
-    at += 24 * n
-    n_control, n_data = sizes.sum(axis=0).tolist() if n else (0, 0)
-    if int(counts.sum()) != n_tokens or len(data) != at + n_control + n_data:
-        raise ValueError("a token shard is cut short")
-    control, coded = np.frombuffer(data, np.uint8, n_control, at), np.frombuffer(data, np.uint8, n_data, at + n_control)
-    return {"number": number, "first": first, "doc_ids": pa.array(ids, mask=nulls.astype(bool)), "counts": counts, "sizes": sizes, "control": control, "data": coded}
-
-
-def decoded(shard: dict, most: int = STEP_TOKENS) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(lo, hi, ranks) of runs of a shard's documents with about `most` tokens each."""
-    ends, lo = np.cumsum(shard["counts"]), 0
-    cuts = np.concatenate((np.zeros((1, 2), np.int64), np.cumsum(shard["sizes"], axis=0)))
-    while lo < len(ends):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
-        (a, b), (c, d) = cuts[lo], cuts[hi]
-        yield lo, hi, decode(shard["control"][a:c], shard["data"][b:d], shard["counts"][lo:hi])
-        lo = hi
-
-
-def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, by_word: bool = True, shard: int = SHARD_BYTES) -> None:
+class ShardWriter:
+    """A shard file that grows block by block, under a temporary name till it is whole."""
+
+    def __init__(self, path: str, number: int):
+        self.fs, root = _open(path)
+        self.name, self.number, self.docs, self.tokens = f"{root}/shard-{number:06d}.tok", number, 0, 0
+        self.part = f"{self.name}.{os.getpid()}.part"
+        self.out = self.fs.open_output_stream(self.part)
+        self.out.write(MAGIC + np.array([number], "<i8").tobytes())
+
+    def add(self, doc_ids: pa.Array, counts: np.ndarray, sizes: np.ndarray, control: bytes, data: bytes) -> None:
+        """A block; sizes: control and data bytes of each document."""
+        nulls = pc.is_null(doc_ids).to_numpy(zero_copy_only=False).astype(np.uint8)
+        ids = pc.fill_null(doc_ids, 0).to_numpy(zero_copy_only=False)
+        head = np.array([len(counts), len(control), len(data)], "<i8").tobytes()
+        self.out.write(b"".join((head, ids.astype("<i8").tobytes(), nulls.tobytes(), counts.astype("<i8").tobytes(), sizes.astype("<i8").tobytes(), control, data)))
+        self.docs, self.tokens = self.docs + len(counts), self.tokens + int(counts.sum())
+
+    def close(self) -> pa.RecordBatch:
+        self.out.write(np.array([-1, self.docs, self.tokens], "<i8").tobytes())
+        self.out.close()
+        self.fs.move(self.part, self.name)
+        return pa.record_batch([pa.array([self.number], pa.int32()), pa.array([self.tokens])], ["shard", "tokens"])
+
+
+def read_shard(path: str, number: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, counts, ranks) of each block of a shard file."""
+    fs, root = _open(path)
+    with fs.open_input_stream(f"{root}/shard-{number:06d}.tok") as f:
+
+        def take(n: int) -> bytes:
+            if len(data := f.read(n)) != n:
+                raise ValueError("a token shard is cut short")
+            return data
+
+        if take(len(MAGIC)) != MAGIC or int.from_bytes(take(8), "little") != number:
+            raise ValueError("not this token shard")
+        docs = tokens = 0
+        while True:
+            n, n_control, n_data = np.frombuffer(take(24), "<i8").tolist()
+            if n < 0:
+                if (docs, tokens) != (n_control, n_data):
+                    raise ValueError("a token shard lacks blocks")
+                return
+            ids, nulls, counts = np.frombuffer(take(8 * n), "<i8"), np.frombuffer(take(n), np.uint8), np.frombuffer(take(8 * n), "<i8")
+            take(16 * n)  # a document's places, for those who want one alone
+            control, data = np.frombuffer(take(n_control), np.uint8), np.frombuffer(take(n_data), np.uint8)
+            docs, tokens = docs + n, tokens + int(counts.sum())
+            yield pa.array(ids, mask=nulls.astype(bool)), counts, decode(control, data, counts)
+
+
+def _edges(coded: DataFrame, rows: int, n_shards: int) -> np.ndarray:
+    """Upper edges of the shards but the last, as rows (has an id, doc_id, tie, at), from a bounded sample of the rows.
+
+    Only the shards' sizes hang on the sample: about equal numbers of tokens.
+    """
+    if n_shards < 2:
+        return np.zeros((0, 4), np.int64)
+    keys = coded.select(F.col("doc_id").isNotNull().cast("long"), F.coalesce("doc_id", F.lit(0)), "tie", "at", "n")
+    most = max(SAMPLE, SAMPLE_PER_SHARD * n_shards)
+    some = (keys.sample(most / rows, seed=1) if rows > most else keys).toPandas().to_numpy(np.int64)
+    some = some[np.lexsort(some.T[3::-1])]
+    ends = np.cumsum(some[:, 4])
+    at = np.searchsorted(ends, ends[-1] * np.arange(1, n_shards) / n_shards) if len(some) else []
+    return np.unique(some[at, :4], axis=0)
+
+
+def _shard_of(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Of each key the number of edges below it."""
+    both = np.concatenate((edges, keys))
+    order = np.lexsort((np.arange(len(both)) < len(edges), *both.T[::-1]))  # a key equal to an edge is before it
+    below = np.empty(len(both), np.int64)
+    below[order] = np.cumsum(order < len(edges))
+    return below[len(edges) :]
+
+
+def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, shard: int = SHARD_BYTES) -> None:
     """Encodes docs and writes `path`: shard files, in ascending order of doc_id, and vocabulary.json (the rank table)."""
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("tie"))
-    rows = _tokenized(own, tokenizer, end_id, by_word)
+    # Numbered as they are written, so that equal rows can go to different shards and a task that runs twice agrees.
+    rows = _tokenized(own, tokenizer, end_id).withColumn("at", F.monotonically_increasing_id())
     rows.write.parquet(put_down := new_path(spark, "tokens"), compression="zstd")
     rows = spark.read.schema(rows.schema).parquet(put_down)
     counts = rows.filter("seen IS NOT NULL").select(F.inline(F.arrays_zip("seen", "times"))).groupBy("seen").agg(F.sum("times").alias("times"))
     found = [(r["times"], r["seen"]) for r in counts.collect()]  # a row an id of the vocabulary
     by_rank = np.array([i for _, i in sorted(found, key=lambda x: (-x[0], x[1]))], np.uint32)
-    coded = rows.filter("ids IS NOT NULL").select("doc_id", "tie", "n", "ids")
+    coded = rows.filter("ids IS NOT NULL").select("doc_id", "tie", "at", "n", "ids")
     total = coded.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     fs, root = _open(path)
     fs.create_dir(root, recursive=True)
-    n_shards = max(1, -(-int(1.6 * (total["n"] or 0)) // shard))
-    # Shards by ranges of doc_id that hold about as many tokens: edges from the rows' ids alone.
-    share = max(1, -(-(total["rows"] or 1) // n_shards))
-    edges = coded.filter("doc_id IS NOT NULL").stat.approxQuantile("doc_id", [k / n_shards for k in range(1, n_shards)], 0.2 / n_shards) if n_shards > 1 and share else []
-    edges = np.unique(np.array(edges, np.float64).astype(np.int64))
-    names = ["doc_id", "tie", "n", "shard", "control", "data"]
-    ranks_of = spark.sparkContext.broadcast(by_rank)
+    edges = _edges(coded, total["rows"], min(MOST_SHARDS, max(1, -(-int(1.6 * (total["n"] or 0)) // shard))))
+    names = ["doc_id", "tie", "at", "n", "shard", "control", "data"]
+    shared = spark.sparkContext.broadcast((by_rank, edges))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.zeros(int(ranks_of.value.max(initial=0)) + 1, np.uint32)
-        rank[ranks_of.value] = np.arange(len(ranks_of.value))
+        by_rank, edges = shared.value
+        rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
+        rank[by_rank] = np.arange(len(by_rank))
         for batch in batches:
             for step in steps(batch, "ids"):
                 n = step.column("n").to_numpy(zero_copy_only=False)
-                ids = np.concatenate([np.frombuffer(b, "<u2" if len(b) == 2 * k else "<u4") for b, k in zip(step.column("ids").to_pylist(), n.tolist(), strict=True)])
-                control, data, a, b = encode(rank[ids], n)
+                control, data, a, b = encode(rank[_numbers(step.column("ids"), n)], n)
                 blobs = [pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(starts(c).astype(np.int32)), pa.py_buffer(x.tobytes())]) for c, x in ((a, control), (b, data))]
-                doc_id = step.column("doc_id")
-                to = np.searchsorted(edges, pc.fill_null(doc_id, -(2**63)).to_numpy(zero_copy_only=False), "right")
-                yield pa.RecordBatch.from_arrays([doc_id, step.column("tie"), step.column("n"), pa.array(to.astype(np.int32)), *blobs], names)
+                doc_id, tie, at = (step.column(k) for k in names[:3])
+                known = pc.is_valid(doc_id).to_numpy(zero_copy_only=False).astype(np.int64)
+                key = (known, *(pc.fill_null(c, 0).to_numpy(zero_copy_only=False) for c in (doc_id, tie, at)))
+                to = pa.array(_shard_of(np.stack(key, 1), edges), pa.int32())
+                yield pa.RecordBatch.from_arrays([doc_id, tie, at, step.column("n"), to, *blobs], names)
 
-    schema = "doc_id long, tie long, n long, shard int, control binary, data binary"
-    dealt = coded.mapInArrow(code, schema).repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions("doc_id", "tie")
+    schema = "doc_id long, tie long, at long, n long, shard int, control binary, data binary"
+    dealt = coded.mapInArrow(code, schema).repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "tie", "at")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        wide = pa.schema([(n, pa.large_binary() if n in ("control", "data") else parts[0].schema.field(n).type) for n in names])
-        whole = pa.Table.from_batches(parts).cast(wide)
-        for number in pc.unique(whole.column("shard")).to_pylist():
-            yield one(number, whole.filter(pc.equal(whole.column("shard"), number)))
-
-    def one(number: int, rows: pa.Table) -> pa.RecordBatch:
-        column = lambda n: rows.column(n).combine_chunks()
-        sizes = np.stack([pc.binary_length(column(n)).to_numpy(zero_copy_only=False) for n in ("control", "data")], 1)
-        bodies = [pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(rows)], pa.int64()), column(n)), pa.scalar(b"", pa.large_binary()))[0].as_py() for n in ("control", "data")]
-        counts = column("n").to_numpy(zero_copy_only=False)
-        body = shard_bytes(number, -1, column("doc_id"), counts, sizes, *bodies)
-        fs, root = _open(path)
-        name = f"{root}/shard-{number:06d}.tok"
-        with fs.open_output_stream(f"{name}.{os.getpid()}.part") as out:
-            out.write(body)
-        fs.move(f"{name}.{os.getpid()}.part", name)
-        return pa.record_batch([pa.array([number], pa.int32()), pa.array([int(counts.sum())])], ["shard", "tokens"])
-
-    done = {r["shard"]: r["tokens"] for r in dealt.mapInArrow(put, "shard int, tokens long").collect()}  # a row a shard
+        out, held, size = None, [], 0
+
+        def flush() -> None:
+            if held:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                column = lambda n: rows.column(n).combine_chunks()
+                sizes = np.stack([pc.binary_length(column(n)).to_numpy(zero_copy_only=False) for n in ("control", "data")], 1)
+                body = [b"".join(column(n).to_pylist()) for n in ("control", "data")]
+                out.add(column("doc_id"), column("n").to_numpy(zero_copy_only=False), sizes, *body)
+                held.clear()
+
+        for batch in batches:
+            shards = batch.column("shard").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(shards, prepend=-1, append=-1)).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if out is None or out.number != shards[lo]:
+                    flush()
+                    if out:
+                        yield out.close()
+                    out, size = ShardWriter(path, int(shards[lo])), 0
+                for part in steps(batch.slice(lo, hi - lo), "data", STEP_CODED):
+                    held.append(part)
+                    size += pc.sum(part.column("n")).as_py()
+                    if size >= STEP_TOKENS:
+                        flush()
+                        size = 0
+        if out:
+            flush()
+            yield out.close()
+
+    done = {r["shard"]: r["tokens"] for r in dealt.mapInArrow(put, "shard int, tokens long").collect()}  # at most MOST_SHARDS
     firsts, n = {}, 0
     for k in sorted(done):
         firsts[k], n = n, n + done[k]
@@ -356,18 +429,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_rank, firsts = shared.value
-        fs, root = _open(path)
         for number in (n for b in batches for n in b.column(0).to_pylist() if n in firsts):
-            with fs.open_input_stream(f"{root}/shard-{number:06d}.tok") as f:
-                own = read_shard(f.read())
-            firsts_of = firsts[number] + starts(own["counts"])
-            for lo, hi, ranks in decoded(own):
-                ids, cuts = by_rank[ranks].astype("<u4"), 4 * starts(own["counts"][lo:hi])
-                blobs = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(cuts), pa.py_buffer(ids.tobytes())])
+            first = firsts[number]
+            for doc_ids, counts, ranks in read_shard(path, number):
+                at = starts(counts)
+                ids = by_rank[ranks].astype("<u4")
+                blobs = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(4 * at), pa.py_buffer(ids.tobytes())])
                 yield pa.record_batch(
-                    [own["doc_ids"].slice(lo, hi - lo), pa.array(firsts_of[lo:hi]), pa.array(own["counts"][lo:hi]), blobs.cast(pa.binary())],
+                    [doc_ids, pa.array(first + at[:-1]), pa.array(counts), blobs.cast(pa.binary())],
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
+                first += int(at[-1])
 
     return numbers.mapInArrow(of, "doc_id long, start long, n_tokens long, ids binary")
 
@@ -375,4 +447,3 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def checksums(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of what `read` gives."""
     return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-

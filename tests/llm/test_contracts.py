@@ -105,11 +105,11 @@ def test_tokens(spark, docs, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    own = Tokenizer.from_file(path)
-    for number, by_word in enumerate((True, False)):
-        at = f"file://{tmp_path}/t{number}"
-        token_output.write(docs, path, at, by_word=by_word, shard=20_000)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):  # by words, and by whole texts
+        path, at = public_tokenizers.path(name), f"file://{tmp_path}/{name}"
+        own = Tokenizer.from_file(path)
+        assert token_output.Encoder(path).by_word == name.startswith("word")
+        token_output.write(docs, path, at, shard=20_000)
         rows = token_output.read(spark, at).collect()
         assert sorted(r.start for r in rows)[0] == 0 and len(rows) == len(DOCS)
         ordered = sorted(rows, key=lambda r: r.start)
@@ -122,6 +122,34 @@ def test_tokens(spark, docs, tmp_path):
     assert token_output.checksums(token_output.read(spark, at)).count() == 0
 
 
+def test_tokens_of_odd_words():
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, encoder = Tokenizer.from_file(path), token_output.Encoder(path)
+    texts = ["ÀÉ! don't,, it's <|endoftext|>x a<|startoftext|>", "\u212aelvin \u0130x \u1e9e e\u0301a ÷×", "a\u00a0b c\u2003d 12.5% x_y'z ...", "Ωμέγα, 日本語。 n\u0303"]
+    texts += ["".join(random.Random(k).choices("aZé'Ü.,<|>9 \n\t\u0301\u00a0ß_$", k=60)) for k in range(400)]
+    ids, counts = encoder.ids(pa.array([*texts, None]))
+    want = [own.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_tokens_of_one_doc_id(spark, tmp_path):
+    import public_tokenizers
+
+    rows = [(7 if k % 3 else k, "one text" if k % 2 else f"text {k}") for k in range(3000)]
+    docs, at = spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/hot"
+    token_output.write(docs, public_tokenizers.path("word_bpe_49k.json"), at, shard=1500)
+    found = token_output.read(spark, at).collect()
+    ordered = sorted(found, key=lambda r: r.start)
+    assert len(found) == 3000 and [r.doc_id for r in ordered] == sorted(d for d, _ in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(ordered, ordered[1:]))
+    sizes = [p.stat().st_size for p in (tmp_path / "hot").glob("*.tok")]
+    assert len(sizes) > 6 and max(sizes) < 4 * sum(sizes) / len(sizes)
+
+
 def test_token_coding():
     import numpy as np
 
