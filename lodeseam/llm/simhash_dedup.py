@@ -1,15 +1,19 @@
 """SimHash near-duplicates: fingerprints joined with themselves by a binary trie.
 
-Fingerprints are made in Arrow batches.  The self-join walks pairs of trie nodes from the root, adds up the bits in
-which their paths differ and drops a pair once the error budget is exceeded.  The upper trie is cut into a bounded
-number of nodes from a histogram of the first 16 bits (at most 65536 counts); each pair of nodes that survives is one
-task, which walks the lower trie level by level in numpy.  A task returns a spanning forest of its links, never all
-pairs, and alternating star contractions join the forests to components.
+Fingerprints are made in Arrow batches.  The self-join walks pairs of trie nodes, adds up the bits in which their paths
+differ and drops a pair once the error budget is exceeded.  The upper trie is shared out by blocks of bits: fingerprints
+of 64 bits within a budget of k agree in one of k + 1 blocks at least, so each is dealt once for each block, turned so
+that the block leads, and meets those with the same leading block in one task.  There the walk begins at the pairs of
+equal nodes under the block and goes down level by level in numpy.  So a fingerprint has k + 1 copies whatever the size
+of the table.  Where a leading block has over MOST fingerprints, those are dealt once more, by blocks of their other
+bits: (k + 1) ** 2 copies, of those alone.  A task returns a spanning forest of its links, never all pairs, and
+alternating star contractions join the forests to components.
 
 Only distinct fingerprints enter the join, so exact copies cost nothing there however many there are.
 
 Defined results: a null or empty text has no words and the fingerprint zero, linked like any other; repeated rows and
-null doc_ids are rows of their own; the component of rows that all lack a doc_id is null; other columns don't matter.
+null doc_ids are rows of their own; the component of rows that all lack a doc_id is null; other columns don't matter.  `dedup`
+keeps one row of each component: the one with the least doc_id, one without a doc_id only if no row has one.
 """
 
 from __future__ import annotations
@@ -24,13 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm._shared import cut, small_batches
+from lodeseam.llm._shared import cut, small_batches, written
 from lodeseam.llm._text import plain, ranges, split, starts, steps
 
-#: Leading bits of the histogram that shapes the upper trie.
-TOP_BITS = 16
-#: The upper trie is cut into about so many nodes, or more where one would hold over MOST fingerprints.
-NODES, MOST = 32, 1 << 20
+#: A leading block with more distinct fingerprints is parted once more; fingerprints of a walk about.
+MOST, WALK = 1 << 20, 1 << 17
 #: Node pairs that a task expands at once, and pairs of fingerprints under a node pair that are compared outright.
 FRONTIER, OUTRIGHT = 1 << 19, 4
 
@@ -71,17 +73,17 @@ def simhash(text: pa.Array, shingle: int = 3, seed: int = 42) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every row."""
-    small_batches(docs.sparkSession)
+def fingerprints(rows: DataFrame, shingle: int = 3) -> DataFrame:
+    """id and fp, the fingerprint of the text as a signed long, of every row (id, text)."""
+    small_batches(rows.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for step in steps(batch, "text"):
                 fp = simhash(step.column("text"), shingle).view(np.int64)
-                yield pa.record_batch([step.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.record_batch([step.column("id"), pa.array(fp)], ["id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, "doc_id long, fp long")
+    return rows.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(of, "id long, fp long")
 
 
 class Trie:
@@ -129,26 +131,21 @@ class Forest:
             np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
 
 
-def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links between distinct sorted keys of a and b (None: a with itself) that differ in at most `budget` bits."""
-    ta, tb = Trie(a), Trie(a if b is None else b)
-    n = len(a)
-    forest = Forest(n if b is None else n + len(b))
+def trie_links(keys: np.ndarray, budget: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between distinct sorted keys that differ in at most `budget` bits, none of them in the first `depth`."""
+    trie, n = Trie(keys), len(keys)
+    forest = Forest(n)
     levels: dict[int, tuple] = {}
 
     def at(depth: int) -> tuple:
         if depth not in levels:
-            now_a, now_b = ta.level(depth), tb.level(depth)
-            kids_a = ta.children(depth, now_a, ta.level(depth + 1)) if depth < 64 else None
-            kids_b = tb.children(depth, now_b, tb.level(depth + 1)) if depth < 64 else None
-            levels[depth] = now_a, now_b, kids_a, kids_b
+            now = trie.level(depth)
+            levels[depth] = now, trie.children(depth, now, trie.level(depth + 1)) if depth < 64 else None
         return levels[depth]
 
     def compare(i: np.ndarray, j: np.ndarray) -> None:
-        near = np.bitwise_count(ta.keys[i] ^ tb.keys[j]) <= budget
-        if b is None:
-            near &= i < j
-        forest.add(i[near], j[near] + (0 if b is None else n))
+        near = (np.bitwise_count(keys[i] ^ keys[j]) <= budget) & (i < j)
+        forest.add(i[near], j[near])
 
     def walk(depth: int, x: np.ndarray, y: np.ndarray, errors: np.ndarray) -> None:
         while len(x):
@@ -157,13 +154,13 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int) -> tuple[np.nda
                 walk(depth, x[:half], y[:half], errors[:half])
                 x, y, errors = x[half:], y[half:], errors[half:]
                 continue
-            now_a, now_b, kids_a, kids_b = at(depth)
-            size_a, size_b = np.diff(now_a)[x], np.diff(now_b)[y]
-            small = size_a * size_b <= (OUTRIGHT if depth < 64 else math.inf)
+            now, kids = at(depth)
+            size_x, size_y = np.diff(now)[x], np.diff(now)[y]
+            small = size_x * size_y <= (OUTRIGHT if depth < 64 else math.inf)
             if small.any():
-                sa, sb = size_a[small], size_b[small]
-                i = np.repeat(now_a[x[small]], sa * sb) + ranges(np.zeros(len(sa), np.int64), sa * sb) // np.repeat(sb, sa * sb)
-                j = np.repeat(now_b[y[small]], sa * sb) + ranges(np.zeros(len(sa), np.int64), sa * sb) % np.repeat(sb, sa * sb)
+                sx, sy = size_x[small], size_y[small]
+                i = np.repeat(now[x[small]], sx * sy) + ranges(np.zeros(len(sx), np.int64), sx * sy) // np.repeat(sy, sx * sy)
+                j = np.repeat(now[y[small]], sx * sy) + ranges(np.zeros(len(sx), np.int64), sx * sy) % np.repeat(sy, sx * sy)
                 compare(i, j)
                 x, y, errors = x[~small], y[~small], errors[~small]
                 if not len(x):
@@ -171,100 +168,102 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int) -> tuple[np.nda
             nexts = []
             for p in (0, 1):
                 for q in (0, 1):
-                    u, v, e = kids_a[p][x], kids_b[q][y], errors + (p != q)
+                    u, v, e = kids[p][x], kids[q][y], errors + (p != q)
                     keep = (u >= 0) & (v >= 0) & (e <= budget)
-                    if b is None and (p, q) == (1, 0):
+                    if (p, q) == (1, 0):
                         keep &= x != y  # else the mirror of (0, 1)
                     nexts.append((u[keep], v[keep], e[keep]))
             x, y, errors = (np.concatenate(z) for z in zip(*nexts, strict=True))
             depth += 1
 
-    if n and (b is None or len(b)):
-        walk(0, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int8))
-    root = forest.find(np.arange(len(forest.root)))
-    linked = np.flatnonzero(root != np.arange(len(root)))
-    keys = a if b is None else np.concatenate((a, b))
+    if n:
+        own = np.arange(len(at(depth)[0]) - 1)
+        walk(depth, own, own, np.zeros(len(own), np.int8))
+    root = forest.find(np.arange(n))
+    linked = np.flatnonzero(root != np.arange(n))
     return keys[linked], keys[root[linked]]
 
 
-def upper_trie(counts: dict[int, int], budget: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """From counts by the first TOP_BITS bits: the node of each such prefix, and the node pairs within the budget."""
-    total = np.zeros((1 << TOP_BITS) + 1, np.int64)
-    for k, v in counts.items():
-        total[k + 1] = v
-    total = np.cumsum(total)
-    most = min(MOST, max(1, -(-int(total[-1]) // NODES)))
-    held = lambda d, p: int(total[(p + 1) << (TOP_BITS - d)] - total[p << (TOP_BITS - d)])
-    node_of, names = np.full(1 << TOP_BITS, -1, np.int32), {}
-    stack = [(0, 0)]
-    while stack:
-        d, p = stack.pop()
-        if not held(d, p):
-            continue
-        if held(d, p) <= most or d == TOP_BITS:
-            names[d, p] = len(names)
-            node_of[p << (TOP_BITS - d) : (p + 1) << (TOP_BITS - d)] = names[d, p]
-        else:
-            stack += [(d + 1, 2 * p), (d + 1, 2 * p + 1)]
-    pairs, todo = [], [((0, 0), (0, 0), 0)]
-    while todo:
-        a, b, e = todo.pop()
-        if e > budget or not held(*a) or not held(*b):
-            continue
-        if a in names and b in names:
-            pairs.append((names[a], names[b]))
-            continue
-        split_a = [a] if a in names else [(a[0] + 1, 2 * a[1]), (a[0] + 1, 2 * a[1] + 1)]
-        split_b = [b] if b in names else [(b[0] + 1, 2 * b[1]), (b[0] + 1, 2 * b[1] + 1)]
-        for i, x in enumerate(split_a):
-            for j, y in enumerate(split_b):
-                if not (a == b and (i, j) == (1, 0)):
-                    todo.append((x, y, e + (len(split_a) == len(split_b) == 2 and i != j)))
-    return node_of, sorted((min(p), max(p)) for p in pairs)
-
-
-def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
-    """Edges (a, b) of a spanning forest of each node pair, between the distinct fingerprints `fp`."""
-    spark = distinct.sparkSession
-    top = F.shiftrightunsigned("fp", 64 - TOP_BITS).cast("int")
-    counts = {r[0]: r[1] for r in distinct.groupBy(top.alias("top")).count().collect()}
-    node_of, pairs = upper_trie(counts, budget)
-    of_node: dict[int, list[tuple[int, int]]] = {}
-    for k, (x, y) in enumerate(pairs):
-        of_node.setdefault(x, []).append((k, 0))
-        if x != y:
-            of_node.setdefault(y, []).append((k, 1))
-    shared = spark.sparkContext.broadcast((node_of, {k: np.array(v, np.int32) for k, v in of_node.items()}))
-    alone = spark.sparkContext.broadcast({k for k, (x, y) in enumerate(pairs) if x == y})
+def _cuts(bits: int, parts: int) -> list[int]:
+    """Where each of so many nearly equal blocks of bits begins, and the end."""
+    return [bits * k // parts for k in range(parts + 1)]
+
+
+def turned(x: np.ndarray, by: int, bits: int = 64) -> np.ndarray:
+    """The last `bits` bits of each number turned left, those before them left alone."""
+    if not 0 < by < bits:
+        return x
+    low = x if bits == 64 else x & np.uint64((1 << bits) - 1)
+    out = low << np.uint64(by) | low >> np.uint64(bits - by)
+    return out if bits == 64 else (out & np.uint64((1 << bits) - 1)) | (x ^ low)
+
+
+def links(distinct: DataFrame, budget: int = 3, most: int = MOST) -> DataFrame:
+    """Edges (a, b), spanning forests of what links the distinct fingerprints `fp` in each task."""
+    cuts = _cuts(64, budget + 1)
+    wide = [b - a for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    # Blocks with very many fingerprints: at most all values of all blocks are counted.
+    lead = lambda k: F.shiftrightunsigned(F.shiftleft("fp", cuts[k]), 64 - wide[k])
+    blocks = distinct.select(F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), lead(k).alias("block")) for k in range(budget + 1)))).alias("t"))
+    full = blocks.groupBy("t.turn", "t.block").count().filter(F.col("count") > most).collect()
+    full = {k: np.array([r["block"] for r in full if r["turn"] == k], np.uint64) for k in range(budget + 1)}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node_of, of_node = shared.value
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False)
-            nodes = node_of[(fp.view(np.uint64) >> np.uint64(64 - TOP_BITS)).astype(np.int64)]
-            for node in np.unique(nodes):
-                own, to = fp[nodes == node], of_node[int(node)]
-                yield pa.record_batch(
-                    [np.repeat(to[:, 0], len(own)), np.repeat(to[:, 1], len(own)), np.tile(own, len(to))],
-                    ["pair", "side", "fp"],
-                )
-
-    def join(key: tuple, rows: pa.Table) -> pa.Table:
-        side, fp = rows.column("side").to_numpy(), rows.column("fp").to_numpy().view(np.uint64)
-        a = np.sort(fp[side == 0])
-        b = None if key[0].as_py() in alone.value else np.sort(fp[side == 1])
-        x, y = trie_links(a, b, budget)
-        return pa.table([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
-
-    dealt = distinct.select("fp").mapInArrow(deal, "pair int, side int, fp long")
-    return dealt.groupBy("pair").applyInArrow(join, "a long, b long")
+            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for k in range(budget + 1):
+                keys, left = turned(fp, cuts[k]), 64 - wide[k]
+                often = np.isin(keys >> np.uint64(left), full[k])
+                more = _cuts(left, budget + 1)
+                sets = [(0, wide[k], keys[~often])]
+                sets += [(j + 1, wide[k] + more[j + 1] - more[j], turned(keys[often], more[j], left)) for j in range(budget + 1)]
+                for sub, depth, own in sets:
+                    if len(own):
+                        group = (own >> np.uint64(64 - depth)).view(np.int64)
+                        kind = pa.array(np.full(len(own), k * (budget + 2) + sub, np.int32))
+                        yield pa.record_batch([kind, pa.array(group), pa.array(own.view(np.int64))], ["kind", "block", "key"])
+
+    def back(keys: np.ndarray, kind: int) -> np.ndarray:
+        k, sub = divmod(kind, budget + 2)
+        left = 64 - wide[k]
+        if sub:
+            keys = turned(keys, left - _cuts(left, budget + 1)[sub - 1], left)
+        return turned(keys, 64 - cuts[k])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (kind, block); whole blocks are walked together."""
+
+        def walked(kind: int, keys: np.ndarray) -> pa.RecordBatch:
+            k, sub = divmod(kind, budget + 2)
+            more = _cuts(64 - wide[k], budget + 1)
+            x, y = trie_links(np.sort(keys), budget, wide[k] + (more[sub] - more[sub - 1] if sub else 0))
+            return pa.record_batch([pa.array(back(z, kind).view(np.int64)) for z in (x, y)], ["a", "b"])
+
+        kind, held, size = None, [], 0
+        for batch in batches:
+            kinds, blocks, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "block", "key"))
+            cut_at = np.flatnonzero((np.diff(kinds) != 0) | (np.diff(blocks) != 0)) + 1
+            for lo, hi in zip([0, *cut_at.tolist()], [*cut_at.tolist(), len(keys)], strict=True):
+                if held and (kinds[lo] != kind or (size >= WALK and blocks[lo] != block)):
+                    yield walked(kind, np.concatenate(held))
+                    held, size = [], 0
+                kind, block = int(kinds[lo]), blocks[lo]
+                held.append(keys[lo:hi].view(np.uint64))
+                size += hi - lo
+        if held:
+            yield walked(kind, np.concatenate(held))
+
+    dealt = distinct.select("fp").mapInArrow(deal, "kind int, block long, key long")
+    dealt = dealt.repartition("kind", "block").sortWithinPartitions("kind", "block")
+    return dealt.mapInArrow(join, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b), root the smallest node reachable.
 
-    Large-star and small-star by turns.  Each star is a minimum that is combined before the shuffle and a join back,
-    so a hub with very many edges is split like any skewed key.
+    Large-star and small-star by turns.  Each star is a minimum that is combined before the shuffle and a join back by
+    the complement, which the minima aren't dealt by: both sides then have an exchange, so that a hub with very many
+    edges is split like any skewed key.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -275,7 +274,8 @@ def components(edges: DataFrame) -> DataFrame:
             else e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         )
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        near = both.join(least, "u")
+        other = F.bitwise_not("u").alias("other")
+        near = both.select("v", other).join(least.select("u", "m", other), "other")
         if large:
             return near.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         return near.filter("v <> m").select("v", "m").union(least.select("u", "m")).toDF("a", "b").distinct()
@@ -291,22 +291,33 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
+def _grouped(fps: DataFrame, budget: int) -> DataFrame:
+    """fps (id, fp, first) with `least`, the smallest `first` of the component of each row's fingerprint."""
+    distinct = cut(fps.groupBy("fp").agg(F.min("first").alias("own")))
+    roots = components(links(distinct, budget)).withColumnRenamed("node", "fp")
+    linked = roots.join(distinct, "fp").select("root", "fp", "own")
+    least = linked.groupBy("root").agg(F.min("own").alias("least"))
+    named = linked.join(least, "root").select("fp", "least")
+    whole = distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "own").alias("least"))
+    # Joined back by the complement, so that the rows of one fingerprint can be split (see `components`).
+    other = F.bitwise_not("fp").alias("other")
+    return fps.select("id", "fp", other).join(whole.select("least", other), "other").select("id", "fp", "least")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id, the smallest doc_id reachable over links."""
-    fps = cut(fingerprints(docs, shingle))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct, budget))
-    linked = roots.join(distinct, roots["node"] == distinct["fp"]).select("root", "fp", "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    named = linked.join(least, "root").select("fp", "component")
-    whole = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    fps = cut(fingerprints(docs.select(F.col("doc_id").alias("id"), "text"), shingle))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return fps.join(whole, "fp").select("doc_id", digits, "component_id")
+    found = _grouped(fps.withColumn("first", F.col("id")), budget)
+    return found.select(F.col("id").alias("doc_id"), digits, F.col("least").alias("component_id"))
 
 
 def dedup(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
-    """The documents whose doc_id is that of their component, one row of each; rows without a doc_id stay."""
-    found = near_duplicates(docs, shingle, budget)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each component, with docs' columns."""
+    # Numbered as it is written: rows keep their numbers however often they are read.
+    rows, _ = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("id")), "simhash")
+    fps = cut(fingerprints(rows.select("id", F.col("row.text").alias("text")), shingle))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id").alias("first")
+    ids = rows.select("id", F.col("row.doc_id").cast("long").alias("doc_id"))
+    found = _grouped(fps.join(ids, "id").select("id", "fp", order), budget)
+    return rows.join(found.filter("id = least.id").select("id"), "id", "left_semi").select("row.*")
