@@ -1,18 +1,22 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
-A shard is a step of documents (about SHARD_WORDS words).  Its sequence holds, document after document, the runs of
-words that benchmark items use and that are long enough for a test window; every other word could only break a match,
-so each run ends in a sentinel instead.  The index over that sequence is a suffix array's Burrows-Wheeler transform in
-a wavelet tree with block counts, and every SAMPLE_EVERY-th suffix position.  All test windows are searched backward
-at once, a step of the search being two rank queries down the tree for all of them; occurrences are located by
-LF-steps to a sampled position.  The spans they cover are merged for each document.
-
-Test windows go to the workers in blocks of at most BLOCK_BYTES of text, whatever the size of the benchmark; with
-several blocks, each adds its spans and items to the rows that flow by, without a shuffle.
+A shard is about SHARD_BYTES of documents.  Its sequence holds, document after document, the runs of words that
+benchmark items use and that are long enough for a test window; every other word could only break a match, so each run
+ends in a sentinel instead.  The index over that sequence is a suffix array's Burrows-Wheeler transform in a wavelet
+tree with block counts, and every SAMPLE_EVERY-th suffix position.  Test windows are searched backward all at once, as
+a trie of their reversed words: what windows have in common at their ends is searched once, a step being two rank
+queries down the wavelet tree for all nodes of a level, and what is under an empty interval isn't searched (nor is what
+ends in two words that the shard never has one after the other).  So a shard costs little more than its own length and
+the benchmark's distinct pairs of words, not its windows times their lengths.  Occurrences are located by LF-steps to a
+sampled position.  The spans they cover are merged for each document.
+
+Test windows go to the workers in blocks of at most BLOCK_BYTES of text, whatever the size of the benchmark, and all of
+them are searched in one pass over the documents.
 
 Defined results: a null or empty text or item has no words, is never hit and hits nothing; an item of fewer words than
 a window is one window; a null item_id hits but isn't listed; repeated rows are rows of their own; an empty benchmark
-hits nothing; `clean` keeps other columns, whatever their names.
+hits nothing; other columns pass
+through `clean`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +29,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from lodeseam.llm._shared import small_batches
-from lodeseam.llm._text import alnum, ranges, split, starts, steps
+from lodeseam.llm._shared import ARROW_ROWS, small_batches
+from lodeseam.llm._text import alnum, mixed, ranges, split, starts, steps
 
 WINDOW = 13
 #: Text bytes of a shard, of a block of benchmark items, and rows between two sampled suffixes.
-SHARD_BYTES, BLOCK_BYTES, SAMPLE_EVERY = 4_000_000, 16_000_000, 8
+SHARD_BYTES, BLOCK_BYTES, SAMPLE_EVERY = 12_000_000, 4_000_000, 8
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -120,15 +125,9 @@ class FMIndex:
         begins = np.concatenate(([True], s[:-1] == 0))[order] if self.n else np.zeros(0, bool)
         self.sampled[begins] = order[begins]
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [lo, hi) of each pattern; patterns of one length are the rows of a matrix."""
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n)
-        for k in reversed(range(patterns.shape[1])):
-            c = patterns[:, k]
-            lo, hi = self.first[c] + self.bwt.rank(c, lo), self.first[c] + self.bwt.rank(c, hi)
-            if not (hi > lo).any():
-                break
-        return lo, np.maximum(lo, hi)
+    def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of a symbol before what has the rows [lo, hi)."""
+        return self.first[symbol] + self.bwt.rank(symbol, lo), self.first[symbol] + self.bwt.rank(symbol, hi)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """The place in the sequence of each row."""
@@ -145,6 +144,66 @@ class FMIndex:
         return out
 
 
+def _pairs_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Places of pairs of words in a table of 2^22."""
+    return (mixed(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)) >> np.uint64(42)).astype(np.int64)
+
+
+class Reversed:
+    """Distinct windows of one length as a trie of their reversed words, down to where all windows are apart."""
+
+    def __init__(self, rows: np.ndarray, items: np.ndarray):
+        order = np.lexsort((items, *rows.T))  # by the last word, then the one before it
+        rows, items = rows[order], items[order]
+        apart, levels = rows[1:] != rows[:-1], []
+        self.first = np.flatnonzero(np.concatenate(([True], apart.any(axis=1), [True])))
+        #: Of each window the items that have it: owners[first[w] : first[w + 1]].
+        self.owners, self.rows = items, rows[self.first[:-1]]
+        self.length, new = rows.shape[1], np.zeros(len(self.rows) - 1, bool)
+        apart, at, parent = self.rows[1:] != self.rows[:-1], None, None
+        for k in range(self.length - 1, -1, -1):
+            new = new | apart[:, k]
+            every = np.concatenate(([True], new))
+            at = np.flatnonzero(every)
+            levels.append((self.rows[at, k], None if parent is None else parent[at]))
+            parent = (np.cumsum(every) - 1).astype(np.int32)
+            if len(at) == len(self.rows):
+                break
+        self.levels = levels
+        if len(levels) > 1:
+            self.pairs = _pairs_of(levels[1][0], levels[0][0][levels[1][1]])
+        elif self.length > 1:
+            self.pairs = _pairs_of(self.rows[:, -2], self.rows[:, -1])
+
+    def search(self, index: FMIndex, has_pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows that occur, and their rows [lo, hi)."""
+        symbol, _ = self.levels[0]
+        lo, hi = index.first[symbol], index.first[symbol + 1]
+        own = np.arange(len(symbol))
+        for k in range(1, self.length):
+            alive = hi > lo
+            if k < len(self.levels):
+                symbol, parent = self.levels[k]
+                place = np.full(len(self.levels[k - 1][0]), -1)
+                place[own[alive]] = np.flatnonzero(alive)
+                found = place[parent]
+                some = found >= 0
+                if k == 1:
+                    some &= has_pair[self.pairs]
+                own = np.flatnonzero(some)
+                lo, hi, symbol = lo[found[own]], hi[found[own]], symbol[own]
+            else:  # a node is a window
+                if k == 1:
+                    alive &= has_pair[self.pairs[own]]
+                own, lo, hi = own[alive], lo[alive], hi[alive]
+                symbol = self.rows[own, self.length - 1 - k]
+            if not len(own):
+                return own, lo, hi
+            lo, hi = index.extend(symbol.astype(np.int64), lo, hi)
+        alive = hi > lo
+        return own[alive], lo[alive], hi[alive]
+
+
 class Windows:
     """A block of benchmark items: the words they use, and their windows by length."""
 
@@ -152,20 +211,15 @@ class Windows:
         words, n = split(alnum(texts))
         coded = words.dictionary_encode()
         self.vocabulary = coded.dictionary
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32) + 1
         at, found = starts(n), {}
         for k in np.flatnonzero(n):
             own, length = codes[at[k] : at[k + 1]], min(window, int(n[k]))
             view = np.lib.stride_tricks.sliding_window_view(own, length)
-            found.setdefault(length, []).append((view, np.full(len(view), k)))
+            found.setdefault(length, []).append((view, np.full(len(view), k, np.int32)))
         self.ids = ids
         # Windows that several items share are searched once.
-        self.by_length = {}
-        for length, parts in found.items():
-            rows, items = np.concatenate([p for p, _ in parts]), np.concatenate([i for _, i in parts])
-            patterns, inverse = np.unique(rows, axis=0, return_inverse=True)
-            order = np.lexsort((items, inverse.ravel()))
-            self.by_length[length] = patterns, items[order], np.searchsorted(inverse.ravel()[order], np.arange(len(patterns) + 1))
+        self.by_length = {length: Reversed(*(np.concatenate(p) for p in zip(*parts, strict=True))) for length, parts in found.items()}
         self.shortest = min(self.by_length, default=0)
 
     def hits(self, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, set[int]]]:
@@ -192,18 +246,17 @@ class Windows:
         s[inner], origin[inner] = codes[places], places
         cover, items = np.zeros(len(codes) + 1, np.int64), {}
         if len(s):
-            index = FMIndex(s, len(self.vocabulary) + 1)
-            for size, (patterns, owners, first) in self.by_length.items():
-                lo, hi = index.search(patterns)
-                many = np.flatnonzero(hi > lo)
-                rows = ranges(lo[many], (hi - lo)[many])
-                found = origin[index.locate(rows)]
+            index, has_pair = FMIndex(s, len(self.vocabulary) + 1), np.zeros(1 << 22, bool)
+            has_pair[_pairs_of(s[:-1], s[1:])] = True
+            for size, trie in self.by_length.items():
+                windows, lo, hi = trie.search(index, has_pair)
+                found = origin[index.locate(ranges(lo, hi - lo))]
                 np.add.at(cover, found, 1)
                 np.add.at(cover, found + size, -1)
                 docs = np.searchsorted(at, found, "right") - 1
-                which = np.repeat(many, (hi - lo)[many])
+                which = np.repeat(windows, hi - lo)
                 for doc, w in np.unique(np.stack((docs, which), 1), axis=0).tolist():
-                    items.setdefault(doc, set()).update(owners[first[w] : first[w + 1]].tolist())
+                    items.setdefault(doc, set()).update(trie.owners[trie.first[w] : trie.first[w + 1]].tolist())
         covered = np.cumsum(cover[:-1]) > 0
         for k in range(len(n)):
             if k not in items:
@@ -230,31 +283,48 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
 _SPANS = "array<struct<begin: long, end: long>>"
 
 
+def _shards(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.StructArray, pa.Array]]:
+    """The rows of batches and their texts, about SHARD_BYTES at a time."""
+    held, size = [], 0
+    for batch in batches:
+        rows = batch.column(0)
+        whole = pa.record_batch([rows, rows.field(text_at)], ["row", "text"])
+        for step in steps(whole, "text", SHARD_BYTES):
+            more = pc.sum(pc.binary_length(step.column(1))).as_py() or 0
+            if held and size + more > SHARD_BYTES:
+                yield tuple(pa.concat_arrays([h.column(k) for h in held]) for k in (0, 1))
+                held, size = [], 0
+            held.append(step)
+            size += more
+    if held:
+        yield tuple(pa.concat_arrays([h.column(k) for h in held]) for k in (0, 1))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with _n_words, _spans (begin and end word of each span under a window, by block) and _items."""
+    """row (all columns of docs), n_words, spans (begin and end word of each span under a window, by block) and items."""
     spark = docs.sparkSession
     small_batches(spark)
-    out = docs.select("*", F.lit(0).cast("long").alias("_n_words"), F.array().cast(_SPANS).alias("_spans"), F.array().cast("array<string>").alias("_items"))
-    schema, names = out.schema, out.columns
-    text_at = [c.lower() for c in names].index("text")
-    for ids, texts in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast((ids, texts))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = Windows(shared.value[0], pa.array(shared.value[1], pa.string()), window)
-            for batch in batches:
-                for step in steps(batch, names[text_at], SHARD_BYTES):
-                    n_words, spans, items = [], [], []
-                    before = step.columns[-2].to_pylist(), step.columns[-1].to_pylist()
-                    for k, n, found, which in own.hits(step.column(text_at)):
-                        n_words.append(n)
-                        spans.append(before[0][k] + [{"begin": a, "end": b} for a, b in found.tolist()])
-                        items.append(before[1][k] + [own.ids[i] for i in which if own.ids[i] is not None])
-                    added = [pa.array(x, step.schema.field(k - 3).type) for k, x in enumerate((n_words, spans, items))]
-                    yield pa.RecordBatch.from_arrays([*step.columns[:-3], *added], schema=step.schema)
-
-        out = out.mapInArrow(search, schema)
-    return out
+    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark)]
+    rows = docs.select(F.struct("*").alias("row"))
+    names = [c.lower() for c in docs.columns]
+    text_at = names.index("text")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [Windows(b.value[0], pa.array(b.value[1], pa.string()), window) for b in blocks]
+        for row, text in _shards(batches, text_at):
+            n_words, spans, items = [0] * len(row), [[] for _ in row], [[] for _ in row]
+            for block in own:
+                for k, n, found, which in block.hits(text):
+                    n_words[k] = n
+                    spans[k] += [{"begin": a, "end": b} for a, b in found.tolist()]
+                    items[k] += [block.ids[i] for i in which if block.ids[i] is not None]
+            kinds = pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
+            added = [pa.array(x, t) for x, t in zip((n_words, spans, items), kinds, strict=True)]
+            for lo in range(0, len(row), ARROW_ROWS):
+                yield pa.record_batch([c.slice(lo, ARROW_ROWS) for c in (row, *added)], ["row", "n_words", "spans", "items"])
+
+    added = spark.sql(f"SELECT 0L AS n_words, CAST(array() AS {_SPANS}) AS spans, CAST(array() AS array<string>) AS items").schema
+    return rows.mapInArrow(search, StructType([StructField("row", rows.schema["row"].dataType), *added]))
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -272,14 +342,14 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [_merged(s) for s in batch.column("_spans").to_pylist()]
-            items = [sorted(set(i)) for i in batch.column("_items").to_pylist()]
-            n = batch.column("_n_words").to_pylist()
+            spans = [_merged(s) for s in batch.column("spans").to_pylist()]
+            items = [sorted(set(i)) for i in batch.column("items").to_pylist()]
+            n = batch.column("n_words").to_pylist()
             hit = [sum(b - a for a, b in s) for s in spans]
             yield pa.record_batch(
                 [
-                    batch.column("doc_id"),
-                    batch.column("_n_words"),
+                    batch.column("row").field(0),
+                    batch.column("n_words"),
                     pa.array(hit, pa.int64()),
                     pa.array(map(len, items), pa.int64()),
                     pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()),
@@ -290,7 +360,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
     found = scan(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark, window)
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return found.select("doc_id", "_n_words", "_spans", "_items").mapInArrow(count, schema)
+    return found.select(F.struct("row.doc_id").alias("row"), "n_words", "spans", "items").mapInArrow(count, schema)
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -314,11 +384,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [_merged(s) for s in batch.column("_spans").to_pylist()]
-            n = batch.column("_n_words").to_pylist()
+            spans = [_merged(s) for s in batch.column("spans").to_pylist()]
+            n = batch.column("n_words").to_pylist()
             hit = [sum(b - a for a, b in s) for s in spans]
             stay = [not (h > 0 and 20 * h >= w) for h, w in zip(hit, n, strict=True)]
-            columns = list(batch.columns[:-3])
+            columns = batch.column("row").flatten()
             if any(h and s for h, s in zip(hit, stay, strict=True)):
                 texts = columns[text_at].to_pylist()
                 for k, s in enumerate(spans):
@@ -329,7 +399,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
                     counts = columns[chars_at].to_pylist()
                     counts = [len(t) if s else c for t, s, c in zip(texts, spans, counts, strict=True)]
                     columns[chars_at] = pa.array(counts, columns[chars_at].type)
-            rows = pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-3]))
+            rows = pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema.field("row").type)))
             yield rows.filter(pa.array(stay, pa.bool_()))
 
     return found.mapInArrow(apply, docs.schema)
