@@ -16,7 +16,8 @@ for each assistant text.
 Defined results: a null text or role is the empty string; a record without turns is formatted as the empty text; a
 record of an unknown schema, or one that isn't a JSON object, has a null `turns` and `formatted` and is told apart by
 its null `layout`; turns with equal numbers stand in the order of role and text; rows of a null conv_id form one
-conversation; repeated rows are repeated turns; other columns don't matter.
+conversation; repeated rows are repeated turns; other columns pass through unless they have the names of results, which
+then replace them.
 """
 
 from __future__ import annotations
@@ -122,14 +123,16 @@ def canonical(records: DataFrame, column: str = "record", mappings: tuple[Mappin
 
     In records with a column STRINGS, which goes, a record's strings are places in that array.
     """
-    meant = (lambda c: F.get(STRINGS, c.cast("int"))) if STRINGS in records.columns else lambda c: c
-    record, mark = F.col(column), F.col("_fingerprint")
+    kept = [F.col(f"`{c}`") for c in records.columns if c.lower() not in (STRINGS, "layout", "turns")]
+    strings = [F.col(STRINGS).alias("strings")] if STRINGS in records.columns else []
+    nested = records.select(F.struct(*kept).alias("row"), F.col(column).alias("record"), fingerprint(F.col(column)).alias("mark"), *strings)
+    meant = (lambda c: F.get("strings", c.cast("int"))) if strings else lambda c: c
+    record, mark = F.col("record"), F.col("mark")
     turns, layout = F.lit(None).cast(TURNS), F.lit(None).cast("string")
     for m in reversed(mappings):
         known = mark.isin(*(F.xxhash64(F.lit(_plainly(s))) for s in m.schemas))
         turns, layout = F.when(known, _turns(record, m, meant)).otherwise(turns), F.when(known, m.name).otherwise(layout)
-    marked = records.withColumn("_fingerprint", fingerprint(record))
-    return marked.withColumn("layout", layout).withColumn("turns", turns.cast(TURNS)).drop("_fingerprint", STRINGS)
+    return nested.select("row.*", layout.alias("layout"), turns.cast(TURNS).alias("turns"))
 
 
 def _written(text: Column, escapes: tuple[tuple[str, str], ...]) -> Column:
@@ -152,8 +155,9 @@ def formatted(rows: DataFrame) -> DataFrame:
             _written(t["role"], ROLE_ESCAPES).alias("role"), _written(t["text"], ESCAPES).alias("text"), (t["role"] == LEARNED_ROLE).alias("learned")
         ),
     )
-    rows = rows.withColumn("_parts", parts)
-    whole = F.array_join(F.transform("_parts", lambda p: F.concat(F.lit(BEGIN), p["role"], F.lit(MIDDLE), p["text"], F.lit(END))), "")
+    kept = [F.col(f"`{c}`") for c in rows.columns if c.lower() not in ("formatted", "loss_mask")]
+    nested = rows.select(F.struct(*kept).alias("row"), parts.alias("parts"))
+    whole = F.array_join(F.transform("parts", lambda p: F.concat(F.lit(BEGIN), p["role"], F.lit(MIDDLE), p["text"], F.lit(END))), "")
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: long, length: long>>").alias("mask"))
 
     def add(done: Column, p: Column) -> Column:
@@ -163,7 +167,7 @@ def formatted(rows: DataFrame) -> DataFrame:
         mask = F.when(p["learned"], F.concat(done["mask"], F.array(span))).otherwise(done["mask"])
         return F.struct((start + length + len(END)).cast("long").alias("at"), mask.alias("mask"))
 
-    return rows.withColumn("formatted", whole).withColumn("loss_mask", F.aggregate("_parts", begin, add)["mask"]).drop("_parts")
+    return nested.select("row.*", whole.alias("formatted"), F.aggregate("parts", begin, add)["mask"].alias("loss_mask"))
 
 
 def parse(text: Column) -> Column:

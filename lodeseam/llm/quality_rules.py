@@ -199,6 +199,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[dict
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
     own = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
     rows = statistics(own).join(F.broadcast(chosen), "doc_id").select("doc_id", *(F.expr(v).alias(k) for k, v in RATIOS.items()), "quality")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *RATIOS).limit(most)  # many rows may share a doc_id
     found = rows.toPandas().sort_values(["doc_id", "quality", *RATIOS], ignore_index=True)
     return {k: found[k].to_numpy(float) for k in RATIOS}, (found["quality"] == 0).to_numpy()
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm._shared import cut, written
+from lodeseam.llm._shared import written
 from lodeseam.llm._text import mixed
 
 ROUNDS, SEED = 8, 20_240_229
@@ -76,23 +76,20 @@ def occupant(shard: int, slot: int, n: int, shards: int, seed: int = SEED) -> in
     return int(permute(np.array([slot * shards + shard]), n, seed, backward=True)[0])
 
 
-def place(docs: DataFrame, shards: int = 8, seed: int = SEED, with_text: bool = True) -> DataFrame:
-    """docs and size, text_crc32, row_number, shard and slot.  with_text=False leaves the columns but doc_id out."""
+def place(docs: DataFrame, shards: int = 8, seed: int = SEED) -> DataFrame:
+    """docs and size, text_crc32, row_number, shard and slot."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = {
         "size": F.octet_length(text).cast("long") + 1,
         "text_crc32": F.crc32(text.cast("binary")),
     }
-    kept = [c for c in docs.columns if c.lower() not in {*own, "row_number", "shard", "slot"}] if with_text else ["doc_id"]
-    columns = [F.col(f"`{c}`") for c in kept]
-    order = ["doc_id", "size", "text_crc32"]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*own, "row_number", "shard", "slot"}]
+    order = ["row.doc_id", "size", "text_crc32"]
     # Numbered as it is written: what is read back can't be dealt out in another way.
-    sized = docs.select(*columns, *(v.alias(k) for k, v in own.items()))
-    numbered = (
-        sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    )
-    numbered = written(numbered, "sharding")[0] if with_text else cut(numbered)
-    part = F.shiftright("_at", _PID_BITS).cast("int")
+    sized = docs.select(F.struct(*kept).alias("row"), *(v.alias(k) for k, v in own.items()))
+    numbered = sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    numbered = written(numbered, "sharding")[0]
+    part = F.shiftright("at", _PID_BITS).cast("int")
     counts = {r[0]: r[1] for r in numbered.groupBy(part.alias("p")).count().collect()}  # a count for each partition
     n, before = 0, {}
     for p in sorted(counts):
@@ -108,5 +105,4 @@ def place(docs: DataFrame, shards: int = 8, seed: int = SEED, with_text: bool =
         columns = [pa.array(rows), pa.array((to % shards).astype(np.int32)), pa.array(to // shards)]
         return pa.StructArray.from_arrays(columns, ["row_number", "shard", "slot"])
 
-    placed = numbered.withColumn("_at", dealt("_at"))
-    return placed.select(*columns, *own, "_at.row_number", "_at.shard", "_at.slot")
+    return numbered.withColumn("at", dealt("at")).select("row.*", *own, "at.row_number", "at.shard", "at.slot")

@@ -3,12 +3,13 @@
 Dated list entries (domain, action, since) become validity intervals: an entry holds from its date until the next
 entry of its domain.  A capture is evaluated as of its fetch time against the entries active then for its host and
 every parent domain of it; the most specific one decides.  Captures are first reduced to distinct (host, fetch day), so
-a host with a third of all captures is at most one row a day in the join, and the verdicts are joined back by host and
-day.
+a host with a third of all captures is at most one row a day in the join.  Verdicts are joined back by a hash of host
+and day that they aren't dealt by, so that a host's captures of one day can be split like any skewed key.
 
 Defined results: a null or hostless URL, or a null fetch time, matches nothing and is allowed; of entries with the same
 domain and date the last action by name holds; entries with a null domain, date or action are no entries; repeated
-captures are rows of their own; other columns pass through `apply` unless they have the names of its results.
+captures are rows of their own; other columns pass through `apply` unless they have the names of its results, which then
+replace them.
 """
 
 from __future__ import annotations
@@ -42,23 +43,24 @@ def parents(name: Column) -> Column:
 
 def apply(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """captures with host, domain (the entry's), action, since and blocked."""
-    results = {"host", "domain", "action", "since", "blocked", "_day"}
+    results = {"host", "domain", "action", "since", "blocked"}
     kept = [F.col(f"`{c}`") for c in captures.columns if c.lower() not in results]
-    rows = captures.select(*kept, host(F.col(url)).alias("host"), F.col(fetched).cast("date").alias("_day"))
-    distinct = rows.filter("host IS NOT NULL AND _day IS NOT NULL").select("host", "_day").distinct()
+    row = F.struct(*kept) if kept else F.struct(F.lit(0))
+    rows = captures.select(row.alias("row"), host(F.col(url)).alias("host"), F.col(fetched).cast("date").alias("day"))
+    distinct = rows.filter("host IS NOT NULL AND day IS NOT NULL").select("host", "day").distinct()
     # Few rows a host and day: as many as it has labels.
-    asked = distinct.select("host", "_day", F.explode(parents(F.col("host"))).alias("_name"))
+    asked = distinct.select("host", "day", F.explode(parents(F.col("host"))).alias("name"))
     lists = intervals(entries)
-    active = (F.col("_name") == F.col("domain")) & (F.col("since") <= F.col("_day")) & (F.col("until").isNull() | (F.col("_day") < F.col("until")))
-    found = asked.join(lists, active).groupBy("host", "_day")
-    found = found.agg(F.max_by(F.struct("domain", "action", "since"), F.length("domain")).alias("_entry"))
-    out = rows.join(found, ["host", "_day"], "left")
-    names = [c for c in captures.columns if c.lower() not in results]
+    active = (F.col("name") == F.col("domain")) & (F.col("since") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
+    found = asked.join(lists, active).groupBy("host", "day")
+    found = found.agg(F.max_by(F.struct("domain", "action", "since"), F.length("domain")).alias("entry"))
+    place = F.xxhash64("host", "day").alias("place")
+    out = rows.select("*", place).join(found.select("*", place), ["place", "host", "day"], "left")
     return out.select(
-        *(F.col(f"`{c}`") for c in names),
+        *([F.col("row.*")] if kept else []),
         "host",
-        F.col("_entry.domain").alias("domain"),
-        F.col("_entry.action").alias("action"),
-        F.col("_entry.since").alias("since"),
-        F.coalesce(F.col("_entry.action") == BLOCK, F.lit(False)).alias("blocked"),
+        F.col("entry.domain").alias("domain"),
+        F.col("entry.action").alias("action"),
+        F.col("entry.since").alias("since"),
+        F.coalesce(F.col("entry.action") == BLOCK, F.lit(False)).alias("blocked"),
     )

@@ -51,8 +51,12 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def clash(docs):
     """The same rows with columns named like the operators' own."""
-    names = ("rid", "anchor", "fp", "size", "key", "bucket", "target", "shard", "slot", "_spans", "n_words", "kept", "tie", "text_key")
-    return docs.select("*", *(F.lit(-1).alias(n) for n in names if n not in ("_spans",)))
+    names = (
+        "rid", "id", "row", "anchor", "fp", "size", "key", "bucket", "target", "shard", "slot", "n_words", "spans", "items", "kept", "tie", "text_key",
+        "_spans", "_items", "_n_words", "_key", "_k", "_n", "_rows", "_epochs", "_at", "at", "n", "ids", "seen", "times", "row_key", "mark", "parts",
+        "_strings", "_counts", "first", "least", "other", "node", "root", "full", "more", "j", "s", "b", "words", "record", "_parts", "_fingerprint", "entry", "day", "place",
+    )
+    return docs.select("*", *(F.lit(-1).alias(n) for n in names))
 
 
 def got(df, *columns):
@@ -68,28 +72,60 @@ def both(docs, clash, f, *columns):
 
 
 def test_simhash(docs, clash):
+    import numpy as np
+
     found = both(docs, clash, simhash_dedup.near_duplicates, "doc_id", "fingerprint", "component_id")
     assert found == brute.simhash(PAIRS)
     kept = simhash_dedup.dedup(docs)
     assert kept.columns == docs.columns
-    ids = Counter(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert ids == Counter({c for d, _, c in brute.simhash(PAIRS) if d is not None})
+    prints = np.unique(np.array([int(f, 16) for _, f, _ in brute.simhash(PAIRS)], np.uint64))
+    i, j = np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3)
+    assert kept.count() == len(np.unique(_linked(prints, prints[i], prints[j])))
+    other = simhash_dedup.dedup(clash)
+    assert other.columns == clash.columns and got(other, "doc_id", "text") == got(kept, "doc_id", "text")
 
 
-def test_trie_against_all_pairs():
+def test_simhash_keeps_rows_not_ids(spark):
+    """A copy that shares its doc_id with a text of its own: the copy goes, the other text stays."""
+    a, u = prose(60, 1), prose(60, 2)
+    docs = spark.createDataFrame([(1, a), (5, a), (5, u), (None, a), (None, u)], "doc_id long, text string")
+    assert got(simhash_dedup.dedup(docs), "doc_id", "text") == Counter([(1, a), (5, u)])
+
+
+def _linked(keys, x, y):
     import numpy as np
 
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 2**64, 60, dtype=np.uint64)
-    keys = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for _ in range(3)), np.arange(9, dtype=np.uint64)]))
-    x, y = simhash_dedup.trie_links(keys, None, 3)
     forest = simhash_dedup.Forest(len(keys))
     forest.add(np.searchsorted(keys, x), np.searchsorted(keys, y))
-    want = simhash_dedup.Forest(len(keys))
+    return forest.find(np.arange(len(keys)))
+
+
+def _fingerprints(n=60):
+    """Distinct fingerprints with neighbours of one to three bits, and each one's component by all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, n, dtype=np.uint64)
+    flip = lambda x: x ^ (np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64))
+    keys = np.unique(np.concatenate([base, *(flip(base) for _ in range(3)), flip(flip(flip(base))), flip(flip(flip(flip(base)))), np.arange(9, dtype=np.uint64)]))
     i, j = np.nonzero(np.triu(np.bitwise_count(keys[:, None] ^ keys[None, :]) <= 3, 1))
-    want.add(i, j)
-    everything = np.arange(len(keys))
-    assert (forest.find(everything) == want.find(everything)).all()
+    return keys, _linked(keys, keys[i], keys[j])
+
+
+def test_trie_against_all_pairs():
+    keys, want = _fingerprints()
+    assert (_linked(keys, *simhash_dedup.trie_links(keys, 3)) == want).all()
+
+
+@pytest.mark.parametrize("most", [1 << 20, 4, 0])
+def test_dealt_trie_against_all_pairs(spark, most):
+    """The same by leading blocks, none, some and all of them parted once more."""
+    import numpy as np
+
+    keys, want = _fingerprints()
+    rows = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "fp long")
+    edges = np.array([tuple(r) for r in simhash_dedup.links(rows, 3, most).collect()], np.int64).view(np.uint64)
+    assert (_linked(keys, edges[:, 0], edges[:, 1]) == want).all()
 
 
 def test_components(spark):
@@ -200,6 +236,9 @@ def test_decontamination(spark, docs, clash):
     assert got(decontaminate.report(docs, benchmark.limit(0)), *columns) == brute.contaminated(PAIRS, [])
     cleaned = decontaminate.clean(docs, benchmark)
     assert cleaned.columns == docs.columns
+    other = decontaminate.clean(clash, benchmark)
+    assert other.columns == clash.columns and got(other, *docs.columns) == got(cleaned, *docs.columns)
+    assert {r["_spans"] for r in other.collect()} == {-1}
     bad = {d for d, *_, c in brute.contaminated(PAIRS, items) if c}
     left = {r.doc_id: r.text for r in cleaned.collect()}
     assert 14 in left and ITEM not in left[14] and not bad & (set(left) - {5})
@@ -223,12 +262,18 @@ def test_fm_index():
         s = rng.integers(0, symbols, n)
         s[-1] = 0
         index = decontaminate.FMIndex(s, symbols)
-        for length in (1, 2, 4):
+        has_pair = np.zeros(1 << 22, bool)
+        has_pair[decontaminate._pairs_of(s[:-1], s[1:])] = True
+        for length in (1, 2, 4, 7):
             patterns = rng.integers(1, symbols, (20, length))
-            lo, hi = index.search(patterns)
-            for p, a, b in zip(patterns, lo, hi):
+            trie = decontaminate.Reversed(patterns, np.arange(20))
+            windows, lo, hi = trie.search(index, has_pair)
+            found = {w: sorted(index.locate(np.arange(a, b)).tolist()) for w, a, b in zip(windows.tolist(), lo, hi)}
+            assert sorted(k for w in range(len(trie.rows)) for k in trie.owners[trie.first[w] : trie.first[w + 1]]) == list(range(20))
+            for w, p in enumerate(trie.rows):
+                assert all((patterns[k] == p).all() for k in trie.owners[trie.first[w] : trie.first[w + 1]])
                 where = [k for k in range(n - length + 1) if (s[k : k + length] == p).all()]
-                assert sorted(index.locate(np.arange(a, b)).tolist()) == where
+                assert found.get(w, []) == where
 
 
 def test_quality(spark, docs, clash):
@@ -283,6 +328,9 @@ def test_mixing(docs, clash):
     assert all(abs(taken[s] - want[s]) <= largest[s] for s in sizes)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
+    other = mixing.mix(clash)
+    assert other.columns == clash.columns and {r["_key"] for r in other.collect()} == {-1}
+    assert mixing.mix(docs.limit(0)).count() == 0
     assert Counter(r.source for r in mixed.collect()) == Counter({s: n for s, n in ((s, sum(k * r[6] for r, k in found.items() if r[1] == s)) for s in sizes) if n})
 
 
@@ -304,8 +352,6 @@ def test_sharding(docs, clash):
     for shard in range(8):
         slots = sorted(r[6] for r in found if r[5] == shard)
         assert slots == list(range(len(slots))) and n // 8 <= len(slots) <= n // 8 + 1
-    narrow = got(sharding.place(docs, 8, with_text=False), "doc_id", "size", "text_crc32", "shard", "slot")
-    assert narrow == Counter((r[0], r[2], r[3], r[5], r[6]) for r in found)
 
 
 def test_permutation():
