@@ -308,7 +308,14 @@ def test_decision_list_on_held_out_rows():
 def test_substrings(docs, clash):
     found = both(docs, clash, lambda d: substring_dedup.dedup(d).withColumn("sha", F.sha2(F.col("kept_text").cast("binary"), 256)), "doc_id", "n_words", "n_removed", "sha")
     assert found == brute.substrings(PAIRS)
-    for window in (5, 8):
+    assert substring_dedup.lengths() == [9, 18]
+    levels = []
+    substring_dedup.dedup(docs, survivors=levels)
+    assert [n for n, _ in levels] == [9, 18] and levels[0][1] >= levels[1][1] > 0
+    levels = []
+    alone = substring_dedup.dedup(docs.filter("doc_id IN (0, 1)"), survivors=levels)
+    assert levels == [(9, 0)] and alone.agg(F.sum("n_removed")).first()[0] == 0  # no candidate survives the first level
+    for window in (5, 8, 40, 70):
         own = substring_dedup.dedup(docs, window).withColumn("sha", F.sha2(F.col("kept_text").cast("binary"), 256))
         assert got(own, "doc_id", "n_words", "n_removed", "sha") == brute.substrings(PAIRS, window)
 
