@@ -258,9 +258,11 @@ def links(distinct: DataFrame, budget: int = 3, most: int = MOST) -> DataFrame:
     return dealt.mapInArrow(join, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, root) of every node of the edges (a, b), root the smallest node reachable.
 
+    With `most` at most so many turns are taken: nodes of one root are linked then, but not all that are have one root.
+
     Large-star and small-star by turns.  Each star is a minimum that is combined before the shuffle and a join back by
     the complement, which the minima aren't dealt by: both sides then have an exchange, so that a hub with very many
     edges is split like any skewed key.
@@ -275,20 +277,23 @@ def components(edges: DataFrame) -> DataFrame:
         )
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         other = F.bitwise_not("u").alias("other")
-        near = both.select("v", other).join(least.select("u", "m", other), "other")
+        near = both.select("v", other).join(least.select("u", "m", other).hint("merge"), "other")
         if large:
             return near.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         return near.filter("v <> m").select("v", "m").union(least.select("u", "m")).toDF("a", "b").distinct()
 
+    # Joins by sorting alone: broadcasts of every turn would add up on the driver.
     sign = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = sign(edges)
-    while before[0]:
-        edges = cut(star(star(edges, True), False))
-        if (now := sign(edges)) == before:
+    before, turns = sign(edges), 0
+    while before[0] and turns != most:
+        edges, turns = cut(star(star(edges, True), False)), turns + 1
+        if turns == most or (now := sign(edges)) == before:
             break
         before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+    if most is not None:  # a node may still have several edges
+        edges = edges.groupBy("a").agg(F.min("b").alias("b"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct().join(edges.select("a").hint("merge"), F.col("b") == F.col("a"), "left_anti"))
 
 
 def _grouped(fps: DataFrame, budget: int) -> DataFrame:
