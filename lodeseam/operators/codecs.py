@@ -20,7 +20,8 @@ MOST = 1 << 28
 _ERROR = pa.struct([("code", pa.int32()), ("message", pa.string())])
 _OUT = pa.struct([("content", pa.binary()), ("crc32", pa.int64()), ("consumed", pa.int64()), ("error", _ERROR)])
 DECODED = "struct<content: binary, crc32: bigint, consumed: bigint, error: struct<code: int, message: string>>"
-TRUNCATED, TOO_LARGE, CORRUPT = 20, 21, 19
+#: Codes of broken streams; those of `registry.ERRORS` mean other things.
+TRUNCATED, TOO_LARGE, CORRUPT = 101, 102, 103
 
 
 class CodecError(Exception):

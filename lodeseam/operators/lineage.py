@@ -7,18 +7,12 @@ import tempfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.functions.bytes import part, size
 from lodeseam.functions.detect import detect
-from lodeseam.functions.headers import zip_header
 from lodeseam.functions.registry import ID
-from lodeseam.operators import codecs
+from lodeseam.operators import streams
 from lodeseam.operators.walkers import EmbeddedHeaders
 from lodeseam.plans.options import DEFAULTS, ScanOptions
 
-#: Formats whose streams are expanded, the codec of what follows their header.
-STREAM_CODECS = {"GZIP": "deflate", "ZIP": "deflate", "SWF": "deflate", "ZLIB": "deflate", "BZIP2": "bzip2"}
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut in the folder that all executors share."""
     spark = df.sparkSession
@@ -67,49 +61,22 @@ def long_enough(identical: Column, options: ScanOptions) -> Column:
     return identical > options.min_identical
 
 
-def _stream_content(c: Column, fmt: Column, gzip_length: Column) -> tuple[Column, Column]:
-    """Where the compressed stream begins, and the bytes from there on."""
-    at = (
-        F.when(fmt == ID["GZIP"], gzip_length).when(fmt == ID["ZIP"], zip_header(c)["header_length"])
-        .when(fmt == ID["SWF"], 10).when(fmt == ID["ZLIB"], 2).when(fmt == ID["BZIP2"], 0)
-    )
-    return at, part(c, at, size(c))
-
-
-def expand_level(objects: DataFrame, options: ScanOptions) -> DataFrame:
-    """objects (stream_id, content) that are streams, expanded: a row each with its header, content and error."""
-    c, fmt = F.col("content"), F.col("format")
-    rows = objects.select("*", detect(c, [f for f in options.formats if f in STREAM_CODECS])["format"].alias("format")).filter("format > 0")
-    rows = rows.withColumn("_gzip", F.when(fmt == ID["GZIP"], codecs.gzip_header(F.when(fmt == ID["GZIP"], c))["header_length"]))
-    at, data = _stream_content(c, fmt, F.col("_gzip"))
-    rows = rows.withColumn("header_length", at.cast("int")).withColumn("_data", data)
-    deflated, bzip2ed = F.when(fmt != ID["BZIP2"], F.col("_data")), F.when(fmt == ID["BZIP2"], F.col("_data"))
-    rows = rows.withColumn("_a", codecs.expand(deflated, "deflate", options.max_output)).withColumn("_b", codecs.expand(bzip2ed, "bzip2", options.max_output))
-    rows = rows.withColumn("_out", F.coalesce("_a", "_b"))
-    return rows.select(
-        "stream_id", "format", "header_length", part(c, 0, F.col("header_length")).alias("header"),
-        F.col("_out.consumed").alias("compressed_size"), F.octet_length("_out.content").cast("long").alias("uncompressed_size"),
-        F.col("_out.crc32").alias("crc32"), F.col("_out.error").alias("error"), F.col("_out.content").alias("content"),
-        part(c, F.col("header_length"), F.col("_out.consumed")).alias("packed"),
-        part(c, F.col("header_length") + F.col("_out.consumed"), size(c)).alias("trailer"),
-    )
-
-
-def expand_all(objects: DataFrame, options: ScanOptions = DEFAULTS, key: str = "object_id") -> DataFrame:
-    """Objects expanded, what they hold expanded in turn, to the depth limit or until nothing is a stream.
-
-    A row a stream: stream_id, object_id, parent_stream_id, depth and the columns of `expand_level`.  A stream's id is a
-    hash of its parent's and its place, so that a level that is computed again gives the same ids.  Each level is cut
-    off in the shared folder; its size is what the next one works on.
+def expand_all(objects: DataFrame, options: ScanOptions = DEFAULTS, key: str = "object_id", search: bool = False) -> DataFrame:
+    """Streams of objects at any place, what they hold scanned in turn, to the depth limit or until nothing is a stream.
+
+    A row a stream: stream_id, object_id, parent_stream_id, depth and the columns of `streams.scan`; accepted is null
+    unless parameters are searched.  A stream's id is a hash of its parent's and its place, an object's one of its id and
+    content, so that a level that is computed again gives the same ids and equal object_ids stay apart.  Each level is
+    cut off in the shared folder; its size is what the next one works on.
     """
-    level = objects.select(F.col(key).alias("object_id"), F.xxhash64(F.lit("object"), key).alias("stream_id"), "content")
+    level = objects.select(F.col(key).alias("object_id"), F.xxhash64(F.lit("object"), key, "content").alias("stream_id"), "content")
     out, depth = None, 0
     while options.max_depth is None or depth < options.max_depth:
         depth += 1
-        found = level.select("object_id", F.col("stream_id").alias("_s"))
-        own = expand_level(level, options).join(found, F.col("stream_id") == F.col("_s")).drop("_s")
-        child = F.xxhash64(F.lit("stream"), "stream_id")
-        own = cut(own.select(child.alias("stream_id"), "object_id", F.col("stream_id").alias("parent_stream_id"), F.lit(depth).alias("depth"), *[x for x in own.columns if x not in ("stream_id", "object_id")]))
+        own = streams.scan(level, ["object_id", "stream_id"], options, search, depth=depth)
+        about = [F.xxhash64(F.lit("stream"), "stream_id", "offset").alias("stream_id"), "object_id", F.col("stream_id").alias("parent_stream_id"), F.lit(depth).alias("depth")]
+        accepted = F.col("accepted") if search else F.lit(None).cast("boolean")
+        own = cut(own.select(*about, *(accepted.alias(c) if c == "accepted" else c for c in streams.COLUMNS)))
         out = own if out is None else out.unionByName(own)
         level = own.filter("content IS NOT NULL").select("object_id", "stream_id", "content")
         if level.isEmpty():
@@ -119,10 +86,10 @@ def expand_all(objects: DataFrame, options: ScanOptions = DEFAULTS, key: str = "
     return out
 
 
-def statistics(streams: DataFrame, options: ScanOptions = DEFAULTS) -> DataFrame:
+def statistics(found: DataFrame, options: ScanOptions = DEFAULTS) -> DataFrame:
     """A row a format: decompressed_count, recompressed_count (accepted), deepest, limit_reached, last_level."""
     limit = F.lit(False) if options.max_depth is None else F.col("depth") >= options.max_depth
-    return streams.groupBy("format").agg(
+    return found.groupBy("format").agg(
         F.count_if(F.col("uncompressed_size").isNotNull()).alias("decompressed_count"),
         F.count_if("accepted").alias("recompressed_count"),
         F.max("depth").alias("deepest"),
@@ -131,9 +98,9 @@ def statistics(streams: DataFrame, options: ScanOptions = DEFAULTS) -> DataFrame
     )
 
 
-def usage(streams: DataFrame) -> DataFrame:
+def usage(found: DataFrame) -> DataFrame:
     """One row: whether anything was used, and whether anything but zlib streams was."""
-    return streams.agg(
+    return found.agg(
         F.coalesce(F.bool_or("accepted"), F.lit(False)).alias("anything_was_used"),
         F.coalesce(F.bool_or(F.col("accepted") & ~F.col("format").isin(ID["ZLIB"], ID["GZIP"], ID["ZIP"], ID["SWF"])), F.lit(False)).alias("non_zlib_was_used"),
     )
@@ -148,5 +115,3 @@ def wide(stats: DataFrame, names: dict[int, str]) -> DataFrame:
 def last_level(rows: DataFrame, key: str = "object_id") -> DataFrame:
     """The level of the stream that stands last in each object."""
     return rows.groupBy(key).agg(F.max_by("level", "offset").alias("level"))
-
-

@@ -7,11 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.functions.bytes import byte
 from lodeseam.functions.detect import is_container
-from lodeseam.functions.headers import bzip2_header
-from lodeseam.functions.registry import ID
-from lodeseam.operators import codecs, lineage
+from lodeseam.operators import lineage, streams
 from lodeseam.plans.options import ScanOptions
 from lodeseam.sources import container, objects
 
@@ -29,35 +26,29 @@ class Engine:
         return lineage.candidates(self.read(source), self.options, inside=inside)
 
     def precompress(self, source: str | DataFrame) -> DataFrame:
-        """The outermost stream of each object, expanded, with the parameters that give back its bytes.
+        """The outermost streams of each object, wherever they stand, expanded, with the parameters that give back their bytes.
 
-        accepted: the stream can be made again bit by bit (and, with verify, was); what can't be is kept as it is.
+        accepted: the stream was made again bit by bit while it was scanned; what can't be is kept as it is.
         """
-        own = self.read(source).select(F.col("object_id").alias("stream_id"), "content")
-        found = lineage.expand_level(own, self.options)
-        bz = F.col("format") == ID["BZIP2"]
-        found = found.withColumn("_p", codecs.parameters(F.when(~bz, F.col("content")), F.when(~bz, F.col("packed"))))
-        level = F.when(bz, bzip2_header(F.col("packed"))["level"]).otherwise(F.col("_p.level"))
-        found = found.withColumn("level", level.cast("int")).withColumn("memory", F.col("_p.memory"))
-        ready = found.withColumn("content", F.when(F.col("level").isNotNull(), F.col("content")))
-        whole = F.concat("header", "packed", "trailer")
-        made = container.packed(ready).withColumn("verified", codecs.verified(whole, F.col("rebuilt")))
-        accepted = F.coalesce(F.col("level").isNotNull() & (F.col("verified") | F.lit(not self.options.verify)), F.lit(False))
-        window_bits = F.when(F.col("format") == ID["ZLIB"], F.shiftright(byte(F.col("header"), 0), 4) + 8)
-        # Cut: what reads it filters by these columns, which would repeat every codec's expression, and reads it twice.
-        return lineage.cut(made.select(
-            F.xxhash64(F.lit("stream"), "stream_id").alias("stream_id"), F.col("stream_id").alias("object_id"), F.lit(None).cast("long").alias("parent_stream_id"),
-            F.lit(1).alias("depth"), F.lit(0).cast("long").alias("offset"), "format", "header_length", "compressed_size", "uncompressed_size",
-            "level", "memory", window_bits.cast("int").alias("window_bits"), "crc32", accepted.alias("accepted"), "verified", "error", "header", "trailer", "content",
+        found = streams.scan(self.read(source), ["object_id"], self.options)
+        parent = F.xxhash64(F.lit("object"), "object_id")
+        # Cut: what reads it filters by these columns and reads it twice.
+        return lineage.cut(found.select(
+            F.xxhash64(F.lit("stream"), parent, "offset").alias("stream_id"), "object_id", F.lit(None).cast("long").alias("parent_stream_id"),
+            F.lit(1).alias("depth"), *streams.COLUMNS, F.col("accepted").alias("verified"),
         ))
 
-    def expand(self, source: str | DataFrame) -> DataFrame:
+    def expand(self, source: str | DataFrame, search: bool = False) -> DataFrame:
         """Streams inside streams, to the depth limit."""
-        return lineage.expand_all(self.read(source), self.options)
+        return lineage.expand_all(self.read(source), self.options, search=search)
 
     def write_container(self, source: str | DataFrame, path: str) -> None:
+        """Three tables that hold every object, row by row, whatever ids repeat."""
         own = self.read(source)
-        container.write(own if "path" in own.columns else own.withColumn("path", F.lit(None).cast("string")), self.precompress(own), path)
+        own = own if "path" in own.columns else own.withColumn("path", F.lit(None).cast("string"))
+        numbered = own.select(F.monotonically_increasing_id().alias("object_row"), "object_id", "path", "content")
+        # Cut: rows keep their numbers however often they are read.
+        container.write(lineage.cut(streams.scan(numbered, ["object_row", "object_id", "path"], self.options, residue=True)), path)
 
     def recompress(self, path: str) -> DataFrame:
         return container.rebuild(self.spark, path)
@@ -66,5 +57,5 @@ class Engine:
         """object_id and what is to be done with it: containers are rebuilt, anything else is expanded."""
         return self.read(source).select("object_id", F.when(is_container(F.col("content")), "recompress").otherwise("precompress").alias("operation"))
 
-    def statistics(self, streams: DataFrame) -> DataFrame:
-        return lineage.statistics(streams, self.options)
+    def statistics(self, found: DataFrame) -> DataFrame:
+        return lineage.statistics(found, self.options)

@@ -27,6 +27,7 @@ class ScanOptions:
     max_depth: int | None = None
     ignored: tuple[int, ...] = ()
     max_output: int = 1 << 28
+    inside: bool = True
 
     def with_(self, **changes) -> ScanOptions:
         return dataclasses.replace(self, **changes)

@@ -1,7 +1,7 @@
 """Containers: what a scan found, as three Parquet tables from which every object is made again bit by bit.
 
-manifest: a row an object (its id, path, length, checksum, and whether it is kept as it is); streams: a row a stream
-with its parameters; payloads: a row a stream or object with its bytes.  Metadata and bytes are apart, so that questions
+manifest: a row an object (its id, path, length, checksum, and whether anything of it is expanded); streams: a row a
+stream with its place and parameters; payloads: a row a stream with its content, and one an object with what they leave.  Metadata and bytes are apart, so that questions
 about streams never read content.
 """
 
@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.functions.registry import ID
-from lodeseam.operators import codecs
+from lodeseam.operators import streams
 
 MAGIC, VERSION = "PCF", 1
 
@@ -22,18 +21,14 @@ class ContainerError(ValueError):
         self.code = code
 
 
-def write(objects: DataFrame, streams: DataFrame, path: str) -> None:
-    """objects (object_id, path, content) and their outermost streams (of `precompress`, accepted or not)."""
-    accepted = streams.filter("accepted").select(F.col("object_id").alias("_o"), "stream_id")
-    kept = objects.join(accepted, F.col("object_id") == F.col("_o"), "left").withColumn("expanded", F.col("stream_id").isNotNull())
-    about = [F.lit(MAGIC).alias("magic"), F.lit(VERSION).alias("version"), "object_id", "path"]
-    manifest = kept.select(*about, F.octet_length("content").cast("long").alias("length"), F.crc32("content").alias("crc32"), "expanded", "stream_id")
-    own = streams.filter("accepted")
-    own.drop("content", "header", "trailer").write.parquet(f"{path}/streams")
-    parts = own.select("stream_id", "header", "trailer", "content")
-    plain = kept.filter("NOT expanded").select(F.col("object_id").alias("stream_id"), F.lit(None).cast("binary").alias("header"), F.lit(None).cast("binary").alias("trailer"), "content")
-    parts.unionByName(plain).write.parquet(f"{path}/payloads")
-    manifest.write.parquet(f"{path}/manifest")  # last: a container without one isn't whole
+def write(scanned: DataFrame, path: str) -> None:
+    """scanned: what `streams.scan` gives with residues, a number object_row for each object, its id and path."""
+    whole, own = scanned.filter("format IS NULL"), scanned.filter("accepted")
+    about = [F.lit(MAGIC).alias("magic"), F.lit(VERSION).alias("version"), "object_row", "object_id", "path"]
+    expanded = F.coalesce(F.octet_length("content") < F.col("compressed_size"), F.lit(False)).alias("expanded")
+    own.drop("content", "header", "error", "path").write.parquet(f"{path}/streams")
+    scanned.filter("accepted OR format IS NULL").select("object_row", "offset", "content").write.parquet(f"{path}/payloads")
+    whole.select(*about, F.col("compressed_size").alias("length"), "crc32", expanded).write.parquet(f"{path}/manifest")  # last: a container without one isn't whole
 
 
 def read_header(spark: SparkSession, path: str) -> DataFrame:
@@ -47,23 +42,15 @@ def read_header(spark: SparkSession, path: str) -> DataFrame:
     return manifest
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """rows (format, level, memory, header, content, trailer) with rebuilt, the stream's bytes again."""
-    bz = F.col("format") == ID["BZIP2"]
-    deflated = codecs.pack(F.when(~bz, F.col("content")), "deflate", F.col("level"), F.col("memory"))
-    bzip2ed = codecs.pack(F.when(bz, F.col("content")), "bzip2", F.col("level"))
-    own = rows.withColumn("_a", deflated).withColumn("_b", bzip2ed)
-    return own.withColumn("rebuilt", F.concat("header", F.coalesce("_a", "_b"), "trailer")).drop("_a", "_b")
-
-
 def rebuild(spark: SparkSession, path: str) -> DataFrame:
     """object_id, path, content and verified of every object of a container."""
     manifest = read_header(spark, path)
-    payloads, streams = spark.read.parquet(f"{path}/payloads"), spark.read.parquet(f"{path}/streams")
-    known = manifest.filter("expanded").select("object_id", "path", "length", "crc32", F.col("stream_id").alias("_s"))
-    parts = streams.select("stream_id", "format", "level", "memory").join(payloads, "stream_id")
-    made = packed(known.join(parts, F.col("_s") == F.col("stream_id")))
-    plain = manifest.filter("NOT expanded").join(payloads, F.col("object_id") == payloads["stream_id"])
-    check = lambda c: (F.octet_length(c) == F.col("length")) & (F.crc32(c) == F.col("crc32"))
-    out = made.select("object_id", "path", F.col("rebuilt").alias("content"), check("rebuilt").alias("verified"))
-    return out.unionByName(plain.select("object_id", "path", "content", check("content").alias("verified")))
+    payloads, found = spark.read.parquet(f"{path}/payloads"), spark.read.parquet(f"{path}/streams").drop("object_id")
+    made = found.join(payloads.filter("offset IS NOT NULL"), ["object_row", "offset"])
+    made = made.select("object_row", F.struct("segments", streams.repacked(made).alias("packed")).alias("stream"))
+    # An object's streams meet again in its row: no more than its own bytes.
+    own = made.groupBy("object_row").agg(F.collect_list("stream").alias("streams"))
+    rows = manifest.join(payloads.filter("offset IS NULL").drop("offset"), "object_row").join(own, "object_row", "left")
+    rows = rows.withColumn("content", F.when(F.col("expanded"), streams.spliced(F.col("content"), F.col("streams"))).otherwise(F.col("content")))
+    verified = F.octet_length("content").cast("long").eqNullSafe(F.col("length")) & F.crc32("content").eqNullSafe(F.col("crc32"))
+    return rows.select("object_id", "path", "content", verified.alias("verified"))
