@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 #: Leading bytes that are looked for inside objects, with the strictness that a chance match needs.
@@ -47,6 +49,13 @@ class FlacBlocks:
             at, idx = at + 4 + size, idx + 1
 
 
+def flac_summary(blocks: DataFrame, key: str = "object_id") -> DataFrame:
+    """Of each object's metadata blocks: which kinds it has, and the bytes of its padding."""
+    kinds = {"has_seektable": 3, "has_vorbis_comment": 4, "has_cuesheet": 5, "has_picture": 6}
+    has = [F.bool_or(F.col("block_type") == k).alias(name) for name, k in kinds.items()]
+    return blocks.groupBy(key).agg(*has, F.sum(F.when(F.col("block_type") == 1, F.col("size")).otherwise(0)).alias("padding"))
+
+
 @udtf(returnType="idx: int, kind: string, offset: bigint, size: bigint, detail: int")
 class GifRecords:
     """The records of a GIF file: screen, colour tables, extensions, images; detail: an image's block size or an extension's label."""
@@ -80,6 +89,21 @@ class GifRecords:
             yield idx, "extension" if mark == 0x21 else "image", begin, min(at, len(content)) - begin, detail
 
 
+def _marks(content: bytes, mark: int) -> list[int]:
+    """The bits where 48 bits stand: of each of eight shifts the five whole bytes are searched, then the edges compared."""
+    out = []
+    for shift in range(8):
+        wide, mask = mark << 8 - shift, (1 << 48) - 1 << 8 - shift
+        middle = wide.to_bytes(7, "big")[1:6]
+        at = content.find(middle, 1)
+        while at >= 0:
+            bits = int.from_bytes(content[at - 1 : at + 6].ljust(7, b"\0"), "big")
+            if bits & mask == wide and 8 * (at - 1) + shift + 48 <= 8 * len(content):
+                out.append(8 * (at - 1) + shift)
+            at = content.find(middle, at + 1)
+    return sorted(out)
+
+
 @udtf(returnType="idx: int, bit_offset: bigint, bits: bigint")
 class Bzip2Blocks:
     """The blocks of a bzip2 file by their 48-bit mark, which stands at any bit; bits: up to the next mark or the end."""
@@ -87,17 +111,10 @@ class Bzip2Blocks:
     def eval(self, content: bytes):
         if content is None or content[:3] != b"BZh":
             return
-        bits = int.from_bytes(content, "big")
-        text = bin(bits)[2:].zfill(8 * len(content))
-        mark, end = f"{0x314159265359:048b}", f"{0x177245385090:048b}"
-        found, at = [], text.find(mark)
-        while at >= 0:
-            found.append(at)
-            at = text.find(mark, at + 1)
-        stop = text.rfind(end)
-        edges = [*found, stop if stop > (found[-1] if found else 0) else len(text)]
+        found, ends = _marks(bytes(content), 0x314159265359), _marks(bytes(content), 0x177245385090)
+        stop = ends[-1] if ends and ends[-1] > (found[-1] if found else 0) else 8 * len(content)
         for k, at in enumerate(found):
-            yield k, at, edges[k + 1] - at
+            yield k, at, (found[k + 1] if k + 1 < len(found) else stop) - at
 
 
 @udtf(returnType="offset: bigint, format: int, confidence: int")

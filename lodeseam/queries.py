@@ -5,9 +5,10 @@ The tables hold text, so objects are made of it: `documents.text` behind the lea
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeseam.functions import bytes as B
@@ -16,7 +17,7 @@ from lodeseam.operators import base64_mime, codecs, lineage, walkers
 from lodeseam.operators.deflate_walk import DeflateBlocks, analyse
 from lodeseam.plans.engine import Engine
 from lodeseam.plans.options import ScanOptions
-from lodeseam.sources import objects
+from lodeseam.sources import container, objects
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -204,10 +205,13 @@ def image_headers(spark, sf_dir):
     return png.unionAll(gif.select("object_id", "kind", F.col("g.width").cast("long"), F.col("g.height").cast("long"), "detail"))
 
 
-@query(f"WITH {_P} SELECT object_id, '1.7' AS version FROM q WHERE {_IS['PDF']}")
+@query("SELECT doc_id AS object_id, '1.' || doc_id % 8 AS version FROM documents WHERE doc_id % 3 > 0")
 def pdf_versions(spark, sf_dir):
-    c = F.col("content")
-    return payloads(spark, sf_dir).filter(detect.is_pdf(c)).select("object_id", headers.pdf_version(c).alias("version"))
+    """Of documents behind a version of their own, or behind none."""
+    head = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("%PDF-1."), F.col("doc_id") % 8, F.lit("\n"))).otherwise("")
+    c, docs = F.col("content"), table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("object_id"), F.encode(F.concat(head, F.coalesce("text", F.lit(""))), "UTF-8").alias("content"))
+    return rows.filter(detect.is_pdf(c)).select("object_id", headers.pdf_version(c).alias("version"))
 
 
 _COUNTS = "(l_orderkey % 4)::BIGINT AS s, (l_partkey % 5)::BIGINT AS f, (l_suppkey % 6)::BIGINT AS d, (257 + l_partkey % 30)::BIGINT AS lit, (1 + l_suppkey % 30)::BIGINT AS dist"
@@ -261,9 +265,9 @@ def plausible_content(spark, sf_dir):
 
 @query()
 def crc_checks(spark, sf_dir):
-    """CRC-32, CRC-16 of the first bytes, and a gzip header's checksum: SQL has none of them."""
+    """CRC-32, that of bzip2, CRC-16, and a gzip header's checksum: SQL has none of them."""
     c = F.col("content")
-    return payloads(spark, sf_dir).select("object_id", checksums.crc32(c).alias("crc32"), checksums.crc16(c).alias("crc16"), checksums.gzip_header_crc(B.part(c, 0, 10)).alias("header_crc"))
+    return payloads(spark, sf_dir).select("object_id", checksums.crc32(c).alias("crc32"), checksums.crc32_bzip2(c).alias("crc32_bzip2"), checksums.crc16(c).alias("crc16"), checksums.gzip_header_crc(B.part(c, 0, 10)).alias("header_crc"))
 
 
 # --- integers and strings in bytes ----------------------------------------------------------------------------------
@@ -304,13 +308,14 @@ def codec_round_trips(spark, sf_dir):
     return out
 
 
-@query("SELECT doc_id, CASE WHEN octet_length(encode(coalesce(text, ''))) >= 0 THEN 101 END AS code FROM documents")
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {0} WHEN 1 THEN {1} END::INT AS code, CASE WHEN doc_id % 3 = 2 THEN text END AS text FROM documents".format(codecs.TRUNCATED, codecs.CORRUPT))
 def truncated_streams(spark, sf_dir):
-    """Streams without their last byte are errors of their rows."""
-    packed = codecs.pack(F.col("content"), "zlib", 6)
-    rows = _texts(spark, sf_dir).select("doc_id", packed.alias("packed"))
-    cut = B.part(F.col("packed"), 0, B.size(F.col("packed")) - 1)
-    return rows.select("doc_id", codecs.expand(cut, "zlib").alias("out")).select("doc_id", F.col("out.error.code").alias("code"))
+    """Streams without their last byte, or with another first one, are errors of their rows; the others expand."""
+    rows = _texts(spark, sf_dir).select("doc_id", codecs.pack(F.col("content"), "zlib", 6).alias("packed"))
+    p, kind = F.col("packed"), F.col("doc_id") % 3
+    made = F.when(kind == 0, B.part(p, 0, B.size(p) - 1)).when(kind == 1, F.concat(B.literal("FF"), B.part(p, 1, B.size(p)))).otherwise(p)
+    out = rows.select("doc_id", codecs.expand(made, "zlib").alias("out"))
+    return out.select("doc_id", F.col("out.error.code").alias("code"), F.decode("out.content", "UTF-8").alias("text"))
 
 
 @query()
@@ -394,18 +399,48 @@ def identical_prefixes(spark, sf_dir):
 # --- walkers --------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_P} SELECT object_id, 0 AS idx, 'fmt ' AS tag, 20::BIGINT AS offset, 16::BIGINT AS size FROM q WHERE {_IS['WAV']}")
+def _chunks(spark, sf_dir, head: str, chunk: Callable) -> DataFrame:
+    """object_id, content: head and 1 to 3 chunks, of (doc_id + k) % 7 bytes for chunk k."""
+    n = F.col("doc_id")
+    parts = [F.when(k <= n % 3, chunk(k, (n + k) % 7, k == n % 3)).otherwise(B.literal("")) for k in range(3)]
+    return table(spark, sf_dir, "documents").select(n.alias("object_id"), F.concat(B.literal(head), *parts).alias("content"))
+
+
+def _byte(value) -> F.Column:
+    return F.unhex(F.lpad(F.hex(value), 2, "0"))
+
+
+_CHUNKS = "SELECT doc_id AS object_id, k, (doc_id + k) % 7 AS s, k = doc_id % 3 AS last FROM documents, range(3) AS r(k) WHERE k <= doc_id % 3"
+
+
+@query(f"""SELECT object_id, k::INT AS idx, 'ck0' || k AS tag, (20 + coalesce(sum(8 + s + s % 2) OVER (PARTITION BY object_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset", s::BIGINT AS size FROM ({_CHUNKS})""")
 def riff_chunks(spark, sf_dir):
-    """Chunks whose tag is printable; what follows the first is text."""
-    rows = payloads(spark, sf_dir).filter(detect.is_wav(F.col("content")))
-    return rows.lateralJoin(walkers.RiffChunks(F.col("content").outer())).filter("tag = 'fmt '").select("object_id", "idx", "tag", "offset", "size")
+    """Chunks of row-dependent numbers and sizes, odd ones padded."""
+    tag = lambda k: B.literal(f"ck0{k}".encode().hex())
+    made = _chunks(spark, sf_dir, "524946460000000057415645", lambda k, s, last: F.concat(tag(k), _byte(s), B.literal("000000"), F.encode(F.repeat(F.lit("x"), (s + s % 2).cast("int")), "UTF-8")))
+    rows = made.filter(detect.is_wav(F.col("content")))
+    return rows.lateralJoin(walkers.RiffChunks(F.col("content").outer())).select("object_id", "idx", "tag", "offset", "size")
+
+
+# Chunk k of an object is of type (object_id + k) % 7, so any of the seven may stand anywhere behind STREAMINFO.
+def _flac(spark, sf_dir) -> DataFrame:
+    kind = lambda k, last: (F.col("doc_id") + k) % 7 + F.when(last, 128).otherwise(0)
+    made = _chunks(spark, sf_dir, "664C6143" + "00000022" + _STREAMINFO, lambda k, s, last: F.concat(_byte(kind(k, last)), B.literal("0000"), _byte(s), F.encode(F.repeat(F.lit("x"), s.cast("int")), "UTF-8")))
+    return made.filter(detect.is_flac(F.col("content"))).lateralJoin(walkers.FlacBlocks(F.col("content").outer()))
 
 
-@query(f"WITH {_P} SELECT object_id, count(*) AS n, max(34)::BIGINT AS streaminfo_size FROM q WHERE {_IS['FLAC']} GROUP BY object_id")
+@query(f"""SELECT object_id, k::INT + 1 AS idx, s::INT AS block_type, (46 + coalesce(sum(4 + s) OVER (PARTITION BY object_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset", s::BIGINT AS size, last FROM ({_CHUNKS})
+UNION ALL SELECT doc_id, 0, 0, 8, 34, FALSE FROM documents""")
 def flac_blocks(spark, sf_dir):
-    rows = payloads(spark, sf_dir).filter(detect.is_flac(F.col("content")))
-    found = rows.lateralJoin(walkers.FlacBlocks(F.col("content").outer()))
-    return found.filter("idx = 0").groupBy("object_id").agg(F.count("*").alias("n"), F.max("size").alias("streaminfo_size"))
+    """Metadata blocks of row-dependent numbers, types and sizes."""
+    return _flac(spark, sf_dir).select("object_id", "idx", "block_type", "offset", "size", "last")
+
+
+@query(f"""SELECT object_id, bool_or(s = 3) AS has_seektable, bool_or(s = 4) AS has_vorbis_comment, bool_or(s = 5) AS has_cuesheet, bool_or(s = 6) AS has_picture,
+coalesce(sum(s) FILTER (WHERE s = 1), 0)::BIGINT AS padding FROM ({_CHUNKS}) GROUP BY object_id""")
+def flac_summaries(spark, sf_dir):
+    """What kinds of blocks an object has, and the bytes of its padding."""
+    return walkers.flac_summary(_flac(spark, sf_dir))
 
 
 @query()
@@ -495,9 +530,56 @@ def precompressed(spark, sf_dir):
     return Engine(spark).precompress(_nested(spark, sf_dir)).select("object_id", "format", "accepted", "verified", "level")
 
 
-@query("SELECT TRUE AS anything_was_used, TRUE AS non_zlib_was_used")
+@query("SELECT k::INT AS kind, coalesce(bool_or(k > 0) FILTER (WHERE doc_id IS NOT NULL), FALSE) AS anything_was_used, coalesce(bool_or(k = 3) FILTER (WHERE doc_id IS NOT NULL), FALSE) AS non_zlib_was_used FROM range(4) AS r(k) LEFT JOIN documents ON doc_id % 4 = k GROUP BY k")
 def stream_usage(spark, sf_dir):
-    return lineage.usage(Engine(spark).precompress(_nested(spark, sf_dir)))
+    """Of objects that aren't packed, or with zlib, gzip or bzip2 outermost."""
+    found = Engine(spark).precompress(_nested(spark, sf_dir))
+    rows = [lineage.usage(found.filter(F.col("object_id") % 4 == k)).withColumn("kind", F.lit(k)) for k in range(4)]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).unionAll(rows[3])
+
+
+def _embedding(spark, sf_dir) -> DataFrame:
+    """object_id, content: a text, and behind it in doc_id % 4 lines a gzip file, a bzip2 file and a MIME base64 part."""
+    t, n = F.col("t"), F.col("object_id") % 4
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("object_id"), F.encode(F.concat(F.lit("document "), "doc_id", F.lit(": "), F.coalesce("text", F.lit(""))), "UTF-8").alias("t"))
+    rows = rows.withColumn("gzip", codecs.pack(F.when(n > 0, t), "gzip", F.col("object_id") % 9 + 1))
+    rows = rows.withColumn("bzip2", codecs.pack(F.when(n > 1, F.concat(F.encode(F.lit("second "), "UTF-8"), t)), "bzip2", F.col("object_id") % 9 + 1))
+    lengths = F.transform(F.sequence(F.lit(1), F.ceil(F.octet_length(t) / 57).cast("int")), lambda _: F.lit(76))
+    mime = F.when(n > 2, F.encode(F.concat(F.lit(_HEAD), base64_mime.wrap(t, lengths), F.lit("\r\n--")), "ISO-8859-1"))
+    line = lambda c: F.coalesce(F.concat(B.literal("0A"), c), B.literal(""))
+    return lineage.cut(rows.select("object_id", F.concat(t, line(F.col("gzip")), line(F.col("bzip2")), line(mime)).alias("content")))
+
+
+_EMBEDDED = """b AS (SELECT doc_id AS object_id, 'document ' || doc_id || ': ' || coalesce(text, '') AS t FROM documents),
+e AS (SELECT object_id, k::INT AS ordinal, CASE k WHEN 1 THEN 3 WHEN 2 THEN 10 ELSE 9 END AS format, CASE WHEN k = 2 THEN 'second ' || t ELSE t END AS text, CASE WHEN k = 1 THEN octet_length(encode(t)) + 1 END::BIGINT AS first_offset FROM b, range(1, 4) AS r(k) WHERE object_id % 4 >= k)"""
+
+
+@query(f"WITH {_EMBEDDED} SELECT object_id, ordinal, format, TRUE AS accepted, text, first_offset FROM e")
+def embedded_streams(spark, sf_dir):
+    """None to three streams inside each object, in their order, with their content."""
+    found = Engine(spark).precompress(_embedding(spark, sf_dir))
+    ordinal = F.row_number().over(Window.partitionBy("object_id").orderBy("offset")).alias("ordinal")
+    rows = found.select("object_id", ordinal, "format", "accepted", F.decode("content", "UTF-8").alias("text"), "offset")
+    return rows.select("object_id", "ordinal", "format", "accepted", "text", F.when(F.col("ordinal") == 1, F.col("offset")).alias("first_offset"))
+
+
+@query(f"WITH {_EMBEDDED} SELECT object_id, ordinal, format, text, first_offset FROM e WHERE ordinal = 1 AND format = 3")
+def streams_of_one_format(spark, sf_dir):
+    """The same objects where a switch leaves gzip on alone."""
+    found = Engine(spark, ScanOptions(formats=("GZIP",))).precompress(_embedding(spark, sf_dir))
+    return found.select("object_id", F.lit(1).alias("ordinal"), "format", F.decode("content", "UTF-8").alias("text"), F.col("offset").alias("first_offset"))
+
+
+@query("SELECT doc_id AS object_id, TRUE AS verified, TRUE AS same, doc_id % 4 > 0 AS expanded FROM documents")
+def rebuilt_objects(spark, sf_dir):
+    """Objects written as a container and made again from it, held against the objects themselves."""
+    own, engine = _embedding(spark, sf_dir), Engine(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/container-{uuid.uuid4().hex}"
+    engine.write_container(own, path)
+    back = engine.recompress(path).withColumnRenamed("content", "again")
+    rows = own.join(back, "object_id").join(container.read_header(spark, path).select("object_id", "expanded"), "object_id")
+    return rows.select("object_id", "verified", codecs.verified(F.col("content"), F.col("again")).alias("same"), "expanded")
 
 
 @query("SELECT o_custkey AS object_id, max_by(o_orderkey % 9 + 1, o_orderkey)::INT AS level FROM orders GROUP BY o_custkey")
@@ -506,9 +588,11 @@ def last_levels(spark, sf_dir):
     return lineage.last_level(rows)
 
 
-@query("SELECT doc_id AS object_id, 'precompress' AS operation FROM documents")
+@query("SELECT doc_id AS object_id, CASE WHEN doc_id % 5 = 0 THEN 'recompress' ELSE 'precompress' END AS operation FROM documents")
 def operations(spark, sf_dir):
-    return Engine(spark).operation(payloads(spark, sf_dir))
+    """A container's leading bytes stand before every fifth object."""
+    head = F.when(F.col("object_id") % 5 == 0, B.literal("5043461A00000000")).otherwise(B.literal(""))
+    return Engine(spark).operation(payloads(spark, sf_dir).withColumn("content", F.concat(head, "content")))
 
 
 # --- dimensions and helpers -----------------------------------------------------------------------------------------
@@ -529,9 +613,9 @@ def error_table(spark, sf_dir):
     return registry.error_codes(spark)
 
 
-@query()
+@query(_values([("builtin", n.lower(), s) for _, n, _, _, s in registry.FORMATS[1:]] + [(k, n.lower(), False) for k, names in registry.UNSUPPORTED.items() for n in names], "kind, name, supported"))
 def capability_table(spark, sf_dir):
-    return registry.capabilities(spark, codecs.registered())
+    return registry.capabilities(spark)
 
 
 @query(f"WITH e AS ({_values(registry.ERRORS, 'code, message')}), o AS (SELECT o_orderkey, (o_orderkey % 30)::INT AS c FROM orders) SELECT o_orderkey, coalesce(message, 'Unknown error') AS message, CASE WHEN c IN (0, 2) THEN 0 ELSE 1 END AS exit_code, chr(10) || 'ERROR ' || c || ': ' || coalesce(message, 'Unknown error') AS text FROM o LEFT JOIN e ON code = c")

@@ -94,12 +94,24 @@ def test_gif_and_bzip2_blocks(spark):
     data = random.Random(1).randbytes(250_000)
     found = frame(spark, [bz2.compress(data, 1)]).lateralJoin(Bzip2Blocks(F.col("content").outer())).collect()
     assert len(found) == 3
+    packed = bz2.compress(data, 1)
+    text = f"{int.from_bytes(packed, 'big'):0{8 * len(packed)}b}"
+    at = [k for k in range(len(text) - 47) if text.startswith(f"{0x314159265359:048b}", k)]
+    assert [r.bit_offset for r in found] == at and sum(r.bits for r in found) == text.rfind(f"{0x177245385090:048b}") - at[0]
 
 
 def test_checksums(spark):
     contents = [b"", b"a", TEXT, bytes(range(256)) * 300, None]
     assert column(spark, contents, checksums.adler32(F.col("content"))) == [None if c is None else zlib.adler32(c) for c in contents]
     assert column(spark, [b"123456789"], checksums.crc16(F.col("content"))) == [0xBB3D]
+    assert column(spark, [b"123456789", b""], checksums.crc32_bzip2(F.col("content"))) == [0xFC891918, 0]
+    for n in (16384, 16385, 70_001):  # in lanes, as byte by byte
+        data, crc = random.Random(n).randbytes(n), 0
+        for b in data:
+            crc ^= b
+            for _ in range(8):
+                crc = crc >> 1 ^ (crc & 1) * 0xA001
+        assert checksums._crc16_of(data) == crc
     assert column(spark, contents[:4], checksums.crc32(F.col("content"))) == [zlib.crc32(c) for c in contents[:4]]
 
 
