@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch: a thousand documents are a few MB, and a thousand very long ones still fit a worker.
 ARROW_ROWS = 1000
+#: Files of a small table at most, and small rows of a file beyond that.
+FILES, FILE_ROWS = 16, 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,9 +30,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: its rows lie in the shared folder, so a lost executor costs nothing."""
+def cut(df: DataFrame, rows: int | None = None, dealt: bool = False) -> DataFrame:
+    """df with its lineage cut: its rows lie in the shared folder, so a lost executor costs nothing.
+
+    rows: how many small rows df has about, where that is known; they lie in as few files as that needs (each file costs
+    processes where Hadoop has no native library).  dealt: the rows are dealt to the files by a shuffle, so that what
+    makes them keeps its tasks.
+    """
     shared_dir(df.sparkSession)
+    if rows is not None:
+        files = max(FILES, rows // FILE_ROWS)
+        df = df.repartition(files) if dealt else df.coalesce(files)
     return df.checkpoint()
 
 

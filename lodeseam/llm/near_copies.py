@@ -1,14 +1,19 @@
 """Near copies by the similarity of texts themselves: Jaccard of five-word shingles, THRESHOLD or more.
 
-Candidates come from MinHash bands, links from the exact similarity of each candidate pair's shingles, and components
-of links lose all rows but one.  BANDS bands of ROWS minima miss a pair at the threshold with a chance of
-(1 - THRESHOLD ** ROWS) ** BANDS, 6 in 100,000, and one at 0.85 with 3 in ten million.
-
-Texts with the same words in the same order are one node, so exact copies cost nothing in the join.  Of a band's nodes,
-a first round compares only with a hub; nodes that are known to be linked are not compared again.  At the end all pairs of a band
-that still lie in different components are compared inside tasks, block by block of BLOCK nodes, so that a band of any
-size is many small tasks: first by sketches (a byte of each of the BANDS * ROWS minima; a pair at the threshold agrees in
-AGREE or more of them but for a chance of 3 in ten million), which leave the nodes that may have a partner in the block,
+The method is SimHash with a trie, as in `simhash_dedup`, wide enough for that similarity, and an exact check.  A text
+has PRINTS fingerprints of 64 bits, made of its distinct shingles; each is dealt once for each of its four blocks of 16
+bits, turned so that the block leads.  Under a leading block the trie links what differs in at most BUDGET bits; what it
+links is a band.  Candidates are pairs of a band, links come from the exact similarity of their shingles, and components
+of links lose all rows but one.  By the angle of two sets' indicator vectors, two texts at the threshold differ in a bit
+with a chance of 0.151, so they share a band of one block with 0.070 and miss all 136 with 5 in 100,000; at 0.85 they
+miss with 2 in ten million.  Two unrelated texts share a band with a chance of 7 in ten million.
+
+Texts with the same words in the same order are one node, so exact copies cost nothing in the join.  A first round deals
+FIRST of the fingerprints and compares a band's nodes only with a hub; nodes that are known to be linked are not compared
+again.  Bands of more than CROWDED nodes that share nodes are a crowd, which is one band from there on: a text among very many
+similar ones lies in bands of nearly all blocks, and is a row of one.  At the end all pairs of a band that still lie in different components are compared inside tasks, block by block of BLOCK
+nodes, so that a band of any size is many small tasks: first by all fingerprints (a pair at the threshold differs in DIFFER
+or fewer bits but for a chance of 3 in ten million), which leave the nodes that may have a partner in the block,
 then by those nodes' texts.  A task returns a spanning forest of its links, never all pairs.
 
 Defined results: words are lower-cased (ASCII) and parted by ASCII white space; a text of fewer words than a shingle is
@@ -30,19 +35,22 @@ from pyspark.sql import functions as F
 
 from lodeseam.llm._shared import cut, small_batches, written
 from lodeseam.llm._text import mixed, plain, ranges, split, starts, steps, window_hashes, word_hashes
-from lodeseam.llm.simhash_dedup import Forest, components
+from lodeseam.llm.simhash_dedup import Forest, components, trie_links, turned, wide_simhash
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 32, 6
+#: Fingerprints of 64 bits a text, those of the rounds with hubs, and bits in which two may differ under one leading block.
+PRINTS, FIRST, BUDGET = 34, 4, 12
 #: Rounds of comparing with hubs before what is left is compared pair by pair, and turns of joining links after each.
 ROUNDS, TURNS = 1, 2
-#: Equal bytes of two sketches at least, and nodes of a band that are compared with as many others in a task.
-AGREE, BLOCK = 124, 512
+#: Bits in which all fingerprints of two may differ at most, and nodes of a band that are compared with as many others in a task.
+DIFFER, BLOCK = 416, 512
+#: Fingerprints of a trie about, and pairs of them that are compared outright.
+WALK, OUTRIGHT = 1 << 17, 4096
+#: A band of more nodes is one of a crowd: chance alone doesn't make any.
+CROWDED = 16
 #: Pairs whose texts are compared in one cell about, and row numbers that are broadcast at most (8 bytes each).
 CELL, MOST_BROADCAST = 1024, 500_000
 
-_SALTS = mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)).reshape(2, -1)
-
 
 def shingles(text: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Hashes of all texts' shingles, how many each text has, and 128 bits that texts of the same words share."""
@@ -58,19 +66,11 @@ def shingles(text: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return out, n, [xxhash.xxh3_128_digest(t) for t in joined.to_pylist()]
 
 
-def bands(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text that has shingles: BANDS hashes of the minima of its shingles under ROWS orders each, and its sketch."""
-    first = starts(n)[:-1][n > 0]
-    out, sketch = np.zeros((len(first), BANDS), np.uint64), np.zeros((len(first), BANDS * ROWS), np.uint8)
-    if len(first):
-        for k in range(BANDS):
-            own = np.full(len(first), k, np.uint64)
-            for r in range(k * ROWS, (k + 1) * ROWS):
-                low = np.minimum.reduceat((hashes ^ _SALTS[0, r]) * (_SALTS[1, r] | np.uint64(1)), first)
-                sketch[:, r] = low & np.uint64(0xFF)
-                own = mixed(own * np.uint64(0x9E3779B97F4A7C15) + low)
-            out[:, k] = own
-    return out, sketch
+def distinct(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's hashes without repeats, and how many it has."""
+    owner = np.repeat(np.arange(len(n)), n)
+    own = np.sort(np.unique(mixed(hashes + mixed(owner)), return_index=True)[1])
+    return hashes[own], np.bincount(owner[own], minlength=len(n))
 
 
 def _binary(rows: np.ndarray, has: np.ndarray) -> pa.Array:
@@ -79,20 +79,75 @@ def _binary(rows: np.ndarray, has: np.ndarray) -> pa.Array:
 
 
 def signatures(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """rid, doc_id, key, sketch and bands (none for a text without words) of every row."""
+    """rid, doc_id, key and print (its fingerprints; empty for a text without words) of every row."""
     small_batches(rows.sparkSession)
-    names = ["rid", "doc_id", "key", "sketch", "bands"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for step in steps(batch, "text"):
                 hashes, n, keys = shingles(step.column("text"), shingle)
-                found, sketch = bands(hashes, n)
-                lists = pa.ListArray.from_arrays(pa.array(starts(BANDS * (n > 0)), pa.int32()), pa.array(found.view(np.int64).ravel()))
-                yield pa.record_batch([step.column("rid"), step.column("doc_id"), pa.array(keys, pa.binary()), _binary(sketch, n > 0), lists], names)
+                found = wide_simhash(*distinct(hashes, n), PRINTS)[n > 0].view(np.uint8)
+                yield pa.record_batch([step.column("rid"), step.column("doc_id"), pa.array(keys, pa.binary()), _binary(found, n > 0)], ["rid", "doc_id", "key", "print"])
 
     columns = F.col("rid"), F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")
-    return rows.select(*columns).mapInArrow(of, "rid long, doc_id long, key binary, sketch binary, bands array<long>")
+    return rows.select(*columns).mapInArrow(of, "rid long, doc_id long, key binary, print binary")
+
+
+def clusters(prints: DataFrame, n: int, tables: int) -> DataFrame:
+    """(band, node, component) of what the tries of `tables` fingerprints link, for each block that leads.
+
+    prints: n rows (node, component, crowd, print); component null: the node is one; crowd null: it is in none.  Each
+    fingerprint is dealt as in `simhash_dedup.links`, once a block, turned so that the block leads.  The fingerprints
+    that a trie links to each other, within BUDGET bits under equal leading blocks, are a band; bands of one component
+    alone, or of one crowd, are left out.
+    """
+    parts, names = max(8, -(-n // WALK)), ["group", "key", "node", "component", "crowd"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, component, crowd = (batch.column(c) for c in names[2:])
+            found = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint64).reshape(len(node), -1)
+            for t in range(tables):
+                for k in range(4):
+                    keys = turned(found[:, t], 16 * k)
+                    group = (4 * t + k) * parts + ((keys >> np.uint64(48)) % np.uint64(parts)).astype(np.int64)
+                    yield pa.record_batch([pa.array(group), pa.array(keys.view(np.int64)), node, component, crowd], names)
+
+    def walked(rows: pa.Table) -> pa.RecordBatch:
+        node = rows.column("node").to_numpy()
+        component = pc.coalesce(rows.column("component"), rows.column("node")).to_numpy()
+        crowd = pc.coalesce(rows.column("crowd"), pc.bit_wise_not(rows.column("node"))).to_numpy()
+        keys, at = np.unique(rows.column("key").to_numpy().view(np.uint64), return_inverse=True)
+        a, b = trie_links(keys, BUDGET, 16, OUTRIGHT)
+        root = np.arange(len(keys))
+        root[np.searchsorted(keys, a)] = np.searchsorted(keys, b)
+        root = root[at]
+        several = np.ones(len(keys), bool)
+        for of in (component, crowd):
+            lo, hi = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
+            np.minimum.at(lo, root, of)
+            np.maximum.at(hi, root, of)
+            several &= lo < hi
+        own = np.flatnonzero(several[root])
+        band = mixed(keys[root[own]] + mixed(rows.column("group").to_numpy()[own])).view(np.int64)
+        return pa.record_batch([pa.array(c) for c in (band, node[own], component[own])], ["band", "node", "component"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            group = batch.column("group").to_numpy()
+            cuts = np.flatnonzero(np.diff(group)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)], strict=True):
+                if held and held[-1].column("group")[0].as_py() != group[lo]:
+                    yield walked(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield walked(pa.Table.from_batches(held))
+
+    dealt = prints.select("node", "component", "crowd", "print").mapInArrow(deal, ", ".join(f"{c} long" for c in names))
+    dealt = dealt.repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(join, "band long, node long, component long")
 
 
 def _checked(shingle: int, threshold: float):
@@ -133,9 +188,9 @@ def _checked(shingle: int, threshold: float):
     return of
 
 
-def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rid and text of the rows whose number is among ids (rid); few numbers go to the rows, many meet them by a shuffle."""
-    ids = cut(ids.distinct())
+def _texts(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """rid and text of the rows whose number is among n ids (rid); few numbers go to the rows, many meet them by a shuffle."""
+    ids = cut(ids.distinct(), n)
     few = ids.count() <= MOST_BROADCAST
     text = rows.select("rid", F.col("row.text").cast("string").alias("text"))
     return text.join(F.broadcast(ids) if few else ids, "rid", "left_semi")
@@ -151,7 +206,7 @@ def similar(pairs: DataFrame, n: int, rows: DataFrame, shingle: int, threshold:
     side = int(np.ceil(np.sqrt(max(1, n) / CELL)))
     placed = pairs.withColumn("cell", side * F.pmod(F.xxhash64("a"), F.lit(side)) + F.pmod(F.xxhash64("b"), F.lit(side)))
     needed = placed.select("cell", F.col("a").alias("rid")).union(placed.select("cell", "b")).distinct()
-    texts = needed.join(_texts(rows, needed.select("rid")), "rid")
+    texts = needed.join(_texts(rows, needed.select("rid"), 2 * n), "rid")
     both = texts.select("cell", F.col("rid").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     both = both.unionByName(placed.select("cell", "a", "b", F.lit(None).cast("string").alias("text")))
     both = both.repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
@@ -196,20 +251,20 @@ def _starts(rows: pa.Table) -> np.ndarray:
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each group the nodes whose sketch agrees enough with one of another component.
+    """Of each group the nodes whose fingerprints differ little enough from those of one of another component.
 
     Row r is compared with row r + k of its group, for each k; where i and j differ, only nodes of different blocks are.
     """
     names = ["band", "i", "j", "block", "node", "component"]
     for rows in _grouped(batches, 8 * BLOCK):
         i, j, block, component = (rows.column(c).to_numpy() for c in ("i", "j", "block", "component"))
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(rows), -1)
+        prints = np.frombuffer(b"".join(rows.column("print").to_pylist()), np.uint64).reshape(len(rows), -1)
         cuts = _starts(rows)
         left = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(len(rows)) - 1  # rows behind, in the group
         at, k, near = np.flatnonzero(left > 0), 1, np.zeros(len(rows), bool)
         while len(at):
             own = at[(component[at] != component[at + k]) & ((i[at] == j[at]) | (block[at] != block[at + k]))]
-            own = own[(sketch[own] == sketch[own + k]).sum(axis=1) >= AGREE]
+            own = own[np.bitwise_count(prints[own] ^ prints[own + k]).sum(axis=1, dtype=np.int64) <= DIFFER]
             near[own] = near[own + k] = True
             k += 1
             at = at[left[at] >= k]
@@ -261,16 +316,16 @@ def _linked(shingle: int, threshold: float):
     return of
 
 
-def _all_links(placed: DataFrame, sketches: DataFrame, rows: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Of each band: links (a, b) that join all nodes of different components that are similar enough."""
+def _all_links(placed: DataFrame, n: int, prints: DataFrame, rows: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Of each band, of n nodes in all: links (a, b) that join all nodes of different components that are similar enough."""
     blocks = F.ceil(F.col("nodes") / BLOCK).cast("int")
     mixed_bands = placed.groupBy("band").agg(F.count("*").alias("nodes"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     some = placed.join(mixed_bands.select("band", blocks.alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = some.join(sketches, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "sketch")
+    dealt = some.join(prints, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "print")
     dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    maybe = cut(dealt.mapInArrow(_alike, "band long, i int, j int, block int, node long, component long"))
-    texts = maybe.join(_texts(rows, maybe.select(F.col("node").alias("rid"))).withColumnRenamed("rid", "node"), "node")
+    maybe = cut(dealt.mapInArrow(_alike, "band long, i int, j int, block int, node long, component long"), n, dealt=True)
+    texts = maybe.join(_texts(rows, maybe.select(F.col("node").alias("rid")), maybe.count()).withColumnRenamed("rid", "node"), "node")
     texts = texts.select("band", "i", "j", "node", "component", "text").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     return texts.mapInArrow(_linked(shingle, threshold), "a long, b long")
 
@@ -281,20 +336,26 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD)
     rows, _ = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid")), "near-copies")
     found = cut(signatures(rows, shingle))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    nodes = cut(found.groupBy("key").agg(F.min(order).alias("least")).select(F.col("least.rid").alias("node"), "least"))
-    banded = found.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    members = cut(banded.join(shared.select("band"), "band").select("band", "node"))
-    edges, roots = None, docs.sparkSession.createDataFrame([], "node long, root long")
+    nodes = cut(found.groupBy("key").agg(F.min(order).alias("least")).select(F.col("least.rid").alias("node"), "least"), found.count())
+    prints = found.filter("length(print) > 0").join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), "print")
+    n, edges, roots = nodes.count(), None, docs.sparkSession.createDataFrame([], "node long, component long")
+    crowds = docs.sparkSession.createDataFrame([], "node long, crowd long")
     for k in range(ROUNDS + 1):
-        placed = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("component"))
+        dealt = prints.join(roots, "node", "left").join(crowds, "node", "left")
+        placed = cut(clusters(dealt, n, FIRST if k < ROUNDS else PRINTS), n, dealt=True)
         if k < ROUNDS:
-            pairs = cut(_with_hub(placed, k))
+            some = placed.count()
+            pairs = cut(_with_hub(placed, k), some)
             near = similar(pairs, pairs.count(), rows, shingle, threshold)
+            large = placed.groupBy("band").agg(F.count("*").alias("nodes"), F.min("node").alias("b")).filter(F.col("nodes") > CROWDED)
+            together = placed.join(large, "band").select(F.col("node").alias("a"), "b")
+            crowds = cut(components(together, rows=some), some).withColumnRenamed("root", "crowd")
         else:
-            near = _all_links(placed, found.select(F.col("rid").alias("node"), "sketch"), rows, shingle, threshold)
-        near = cut(near)
+            crowded = crowds.join(roots, "node", "left").select(F.xxhash64("crowd").alias("band"), "node", F.coalesce("component", "node").alias("component"))
+            near = _all_links(placed.union(crowded), n, prints, rows, shingle, threshold)
+        near = cut(near, n, dealt=True)
         edges = near if edges is None else edges.union(near)
-        roots = cut(components(edges, TURNS if k < ROUNDS else None))
-    whole = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least")["rid"].alias("rid"))
+        links = edges.count()
+        roots = cut(components(edges, TURNS if k < ROUNDS else None, links), links).withColumnRenamed("root", "component")
+    whole = nodes.join(roots, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("least")["rid"].alias("rid"))
     return rows.join(whole.select("rid"), "rid", "left_semi").select("row.*")

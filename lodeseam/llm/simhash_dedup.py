@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseam.llm._shared import cut, small_batches, written
-from lodeseam.llm._text import plain, ranges, split, starts, steps
+from lodeseam.llm._text import mixed, plain, ranges, split, starts, steps
 
 #: A leading block with more distinct fingerprints is parted once more; fingerprints of a walk about.
 MOST, WALK = 1 << 20, 1 << 17
-#: Node pairs that a task expands at once, and pairs of fingerprints under a node pair that are compared outright.
+#: Node pairs, or pairs of fingerprints, that a task expands at once, and those under a node pair that are compared outright.
 FRONTIER, OUTRIGHT = 1 << 19, 4
 
 #: Byte value to eight one-byte counters, one a bit.
@@ -86,6 +86,39 @@ def fingerprints(rows: DataFrame, shingle: int = 3) -> DataFrame:
     return rows.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(of, "id long, fp long")
 
 
+def wide_simhash(hashes: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
+    """Fingerprints of `words` times 64 bits, a row a text, of texts that have n of the (distinct) shingles' hashes each.
+
+    Bits are summed in planes, a plane a binary digit of all 64 counters of a word: two shingles of a text are added at
+    a time, then two such sums, and so on.
+    """
+    out = np.zeros((len(n), words), np.uint64)
+    full = np.flatnonzero(n)
+    if not len(full):
+        return out
+    for lo in range(0, words, 4):
+        seeds = mixed(np.arange(lo + 1, min(lo + 4, words) + 1, dtype=np.uint64))
+        planes, counts = [mixed(hashes[:, None] + seeds)], n[full].astype(np.int64)
+        while counts.max() > 1:
+            half, at = (counts + 1) // 2, starts(counts)
+            own = np.repeat(at[:-1], half) + 2 * ranges(np.zeros(len(half), np.int64), half)
+            paired = own + 1 < np.repeat(at[1:], half)
+            other, paired = np.minimum(own + 1, at[-1] - 1), -paired.astype(np.uint64)[:, None]
+            carry, sums = None, []
+            for plane in planes:
+                x, y = plane[own], plane[other] & paired
+                both = x ^ y
+                sums.append(both if carry is None else both ^ carry)
+                carry = x & y if carry is None else (x & y) | (both & carry)
+            planes, counts = [*sums, carry], half
+        ones = np.zeros((len(full), 64 * len(seeds)), np.int64)
+        for k, plane in enumerate(planes):
+            ones += np.unpackbits(np.ascontiguousarray(plane).view(np.uint8), axis=1, bitorder="little").astype(np.int64) << k
+        bits = (2 * ones > n[full, None]).astype(np.uint8)
+        out[full, lo : lo + len(seeds)] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
 class Trie:
     """The binary trie of sorted distinct 64-bit keys: for each level the nodes' first keys, and their children."""
 
@@ -131,7 +164,7 @@ class Forest:
             np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
 
 
-def trie_links(keys: np.ndarray, budget: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(keys: np.ndarray, budget: int, depth: int = 0, outright: int = OUTRIGHT) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links between distinct sorted keys that differ in at most `budget` bits, none of them in the first `depth`."""
     trie, n = Trie(keys), len(keys)
     forest = Forest(n)
@@ -143,9 +176,17 @@ def trie_links(keys: np.ndarray, budget: int, depth: int = 0) -> tuple[np.ndarra
             levels[depth] = now, trie.children(depth, now, trie.level(depth + 1)) if depth < 64 else None
         return levels[depth]
 
-    def compare(i: np.ndarray, j: np.ndarray) -> None:
-        near = (np.bitwise_count(keys[i] ^ keys[j]) <= budget) & (i < j)
-        forest.add(i[near], j[near])
+    def compare(first_x: np.ndarray, first_y: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> None:
+        ends = np.cumsum(sx * sy)
+        lo = 0
+        while lo < len(ends):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + FRONTIER, "right")))
+            n, own = (sx * sy)[lo:hi], ranges(np.zeros(hi - lo, np.int64), (sx * sy)[lo:hi])
+            i = np.repeat(first_x[lo:hi], n) + own // np.repeat(sy[lo:hi], n)
+            j = np.repeat(first_y[lo:hi], n) + own % np.repeat(sy[lo:hi], n)
+            near = (np.bitwise_count(keys[i] ^ keys[j]) <= budget) & (i < j)
+            forest.add(i[near], j[near])
+            lo = hi
 
     def walk(depth: int, x: np.ndarray, y: np.ndarray, errors: np.ndarray) -> None:
         while len(x):
@@ -156,12 +197,9 @@ def trie_links(keys: np.ndarray, budget: int, depth: int = 0) -> tuple[np.ndarra
                 continue
             now, kids = at(depth)
             size_x, size_y = np.diff(now)[x], np.diff(now)[y]
-            small = size_x * size_y <= (OUTRIGHT if depth < 64 else math.inf)
+            small = size_x * size_y <= (outright if depth < 64 else math.inf)
             if small.any():
-                sx, sy = size_x[small], size_y[small]
-                i = np.repeat(now[x[small]], sx * sy) + ranges(np.zeros(len(sx), np.int64), sx * sy) // np.repeat(sy, sx * sy)
-                j = np.repeat(now[y[small]], sx * sy) + ranges(np.zeros(len(sx), np.int64), sx * sy) % np.repeat(sy, sx * sy)
-                compare(i, j)
+                compare(now[x[small]], now[y[small]], size_x[small], size_y[small])
                 x, y, errors = x[~small], y[~small], errors[~small]
                 if not len(x):
                     return
@@ -258,10 +296,11 @@ def links(distinct: DataFrame, budget: int = 3, most: int = MOST) -> DataFrame:
     return dealt.mapInArrow(join, "a long, b long")
 
 
-def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None, rows: int | None = None) -> DataFrame:
     """(node, root) of every node of the edges (a, b), root the smallest node reachable.
 
     With `most` at most so many turns are taken: nodes of one root are linked then, but not all that are have one root.
+    rows: how many edges there are, where that is known.
 
     Large-star and small-star by turns.  Each star is a minimum that is combined before the shuffle and a join back by
     the complement, which the minima aren't dealt by: both sides then have an exchange, so that a hub with very many
@@ -284,10 +323,10 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
 
     # Joins by sorting alone: broadcasts of every turn would add up on the driver.
     sign = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows)
     before, turns = sign(edges), 0
     while before[0] and turns != most:
-        edges, turns = cut(star(star(edges, True), False)), turns + 1
+        edges, turns = cut(star(star(edges, True), False), before[0]), turns + 1
         if turns == most or (now := sign(edges)) == before:
             break
         before = now
