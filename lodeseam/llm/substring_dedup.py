@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm._shared import cut, small_batches
+from lodeseam.llm._shared import cut, remove, small_batches, written
 from lodeseam.llm._text import mixed, ranges, split, starts, steps, window_hashes, word_hashes
 
 WINDOW = 35
@@ -193,18 +193,23 @@ def dedup(docs: DataFrame, window: int = WINDOW, survivors: list[tuple[int, int]
     small_batches(docs.sparkSession)
     text = F.col("text").cast("string").alias("text")
     own = docs.select(F.col("doc_id").cast("long"), text, F.xxhash64("doc_id", "text").alias("rid"))
-    rows = _anchors(own, window)
+    rows, before = _anchors(own, window), None
     for level, length in enumerate(lengths(window)):
-        rows = cut(_survivors(rows, level))
-        n = rows.count()
+        # Hashes as columns of a table: a checkpoint's rows take twice the disk.
+        rows, path = written(_survivors(rows, level), f"repeated-{length}")
+        if before:
+            remove(docs.sparkSession, before)
+        n, before = rows.count(), path
         if survivors is not None:
             survivors.append((length, n))
         if not n:  # nothing is repeated
+            remove(docs.sparkSession, path)
             nothing = own.select("doc_id", "rid", "text", *(F.lit(None).cast("array<long>").alias(c) for c in ("whole", "repeated")))
             return _kept(nothing, window)
     anchor = f"h{len(lengths(window)) - 1}"
     listed = lambda c, v: F.collect_set(F.when(c, F.col(v)))
     flags = cut(rows.groupBy("rid").agg(listed(F.col("agree"), anchor).alias("whole"), listed(~F.col("agree"), anchor).alias("mixed")))
+    remove(docs.sparkSession, before)
     # The final length: windows around the others, counted one by one.  One exchange of texts serves both joins.
     texts, by = own.withColumn("other", F.bitwise_not("rid")), F.bitwise_not("rid").alias("other")
     windows = _windows(texts.join(flags.filter("size(mixed) > 0").select(by, "mixed"), "other"), window)
