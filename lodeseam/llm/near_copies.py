@@ -40,7 +40,7 @@ from lodeseam.llm.simhash_dedup import Forest, components, trie_links, turned, w
 SHINGLE, THRESHOLD = 5, 0.8
 #: Fingerprints of 64 bits a text, those of the rounds with hubs, and bits in which two may differ under one leading block.
 PRINTS, FIRST, BUDGET = 34, 4, 12
-#: Rounds of comparing with hubs before what is left is compared pair by pair, and turns of joining links after each.
+#: Rounds of comparing with hubs before what is left is compared pair by pair, and turns of joining links after each where these are too many for one task.
 ROUNDS, TURNS = 1, 2
 #: Bits in which all fingerprints of two may differ at most, and nodes of a band that are compared with as many others in a task.
 DIFFER, BLOCK = 416, 512

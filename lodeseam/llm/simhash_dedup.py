@@ -6,8 +6,8 @@ of 64 bits within a budget of k agree in one of k + 1 blocks at least, so each i
 that the block leads, and meets those with the same leading block in one task.  There the walk begins at the pairs of
 equal nodes under the block and goes down level by level in numpy.  So a fingerprint has k + 1 copies whatever the size
 of the table.  Where a leading block has over MOST fingerprints, those are dealt once more, by blocks of their other
-bits: (k + 1) ** 2 copies, of those alone.  A task returns a spanning forest of its links, never all pairs, and
-alternating star contractions join the forests to components.
+bits: (k + 1) ** 2 copies, of those alone.  A task returns a spanning forest of its links, never all pairs; one
+task joins the forests to components, or alternating star contractions where they have more than ALONE edges.
 
 Only distinct fingerprints enter the join, so exact copies cost nothing there however many there are.
 
@@ -35,6 +35,8 @@ from lodeseam.llm._text import mixed, plain, ranges, split, starts, steps
 MOST, WALK = 1 << 20, 1 << 17
 #: Node pairs, or pairs of fingerprints, that a task expands at once, and those under a node pair that are compared outright.
 FRONTIER, OUTRIGHT = 1 << 19, 4
+#: Edges that one task joins to components (16 bytes each); more are joined by stars.
+ALONE = 1 << 20
 
 #: Byte value to eight one-byte counters, one a bit.
 _COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
@@ -296,15 +298,43 @@ def links(distinct: DataFrame, budget: int = 3, most: int = MOST) -> DataFrame:
     return dealt.mapInArrow(join, "a long, b long")
 
 
-def components(edges: DataFrame, most: int | None = None, rows: int | None = None) -> DataFrame:
+def _rooted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges (a, b), and the smallest node that it reaches.
+
+    A root goes to its smallest neighbour, and paths are halved until they have one step: two turns leave at most half
+    of the roots that still have an edge.
+    """
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(x):
+        x, y = root[x], root[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return nodes, nodes[root]
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of every node of a task's edges (a, b)."""
+    held = [[batch.column(c).to_numpy() for c in ("a", "b")] for batch in batches]
+    if held:
+        nodes, roots = _rooted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for lo in range(0, len(nodes), FRONTIER):
+            yield pa.record_batch([pa.array(x[lo : lo + FRONTIER]) for x in (nodes, roots)], ["node", "root"])
+
+
+def components(edges: DataFrame, most: int | None = None, rows: int | None = None, alone: int = ALONE) -> DataFrame:
     """(node, root) of every node of the edges (a, b), root the smallest node reachable.
 
-    With `most` at most so many turns are taken: nodes of one root are linked then, but not all that are have one root.
-    rows: how many edges there are, where that is known.
+    Up to `alone` edges are joined in one task: turns of stars have eight shuffles each, and with many partitions their
+    tasks and plans are what fills the driver.  More edges are joined by large-star and small-star by turns.  With
+    `most` at most so many of these are taken: nodes of one root are linked then, but not all that are have one root.
+    rows: how many edges there are at most, where that is known.
 
-    Large-star and small-star by turns.  Each star is a minimum that is combined before the shuffle and a join back by
-    the complement, which the minima aren't dealt by: both sides then have an exchange, so that a hub with very many
-    edges is split like any skewed key.
+    Each star is a minimum that is combined before the shuffle and a join back by the complement, which the minima
+    aren't dealt by: both sides then have an exchange, so that a hub with very many edges is split like any skewed key.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -323,7 +353,11 @@ def components(edges: DataFrame, most: int | None = None, rows: int | None = Non
 
     # Joins by sorting alone: broadcasts of every turn would add up on the driver.
     sign = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows)
+    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), rows)
+    found = edges.count() if rows is None or rows > alone else rows
+    if found <= alone:
+        return edges.coalesce(1).mapInArrow(_joined, "node long, root long")
+    edges = cut(edges.distinct(), found)
     before, turns = sign(edges), 0
     while before[0] and turns != most:
         edges, turns = cut(star(star(edges, True), False), before[0]), turns + 1
